@@ -115,12 +115,14 @@ def bucketed(df: DataFrame, keys: Names, n: int, name: str = "bucket") -> DataFr
     return df.withColumn(name, F.pmod(F.hash(*cols(keys)), F.lit(n)))
 
 
-def write_bucketed(df: DataFrame, table: str, keys: Names, n: int, mode: str = "append") -> None:
+def write_bucketed(
+    df: DataFrame, table: str, keys: Names, n: int, mode: str = "append", path: str | None = None
+) -> None:
     """Save as a table of ``n`` hash buckets, so that later joins and merges on the key need no shuffle.
 
     Rows are first gathered by key with the rebalance hint, which lets adaptive execution cut an
     oversized key into several tasks; a bucket may then hold several files.
     """
     keys = names(keys)
-    gathered = df.hint("rebalance", *cols(keys))
-    gathered.write.mode(mode).bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    writer = df.hint("rebalance", *cols(keys)).write.mode(mode).bucketBy(n, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
