@@ -26,14 +26,15 @@ def match_sequence(
     """Places where a key's consecutive events have the kinds of ``pattern``, in order of ``ts, order``.
 
     One row per place: ``key, start_ts, end_ts, start_id, end_id``. The pattern is the caller's; ``order``
-    breaks ties in time, is unique within a key and never null. Events without a time have no place.
+    breaks ties in time, is unique within a key and never null. Events without a key
+    or a time have no place.
 
     A key with a large share of all events is cut into time slices that are matched in separate
     tasks. Only the rows at the edges of its slices meet again, so matches across slices are
     found too and no task sorts the whole key.
     """
     steps = len(pattern) - 1
-    slim = events.where(F.col(ts).isNotNull()).select(
+    slim = events.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("key"),
         F.col(ts).alias("ts"),
         F.col(order).alias("id"),

@@ -300,13 +300,13 @@ def sequence_stream(spark: SparkSession, folder: str) -> DataFrame:
     )
     source = shared_folder(spark, "events")
     events.unionByName(beat).write.parquet(source)
-    spark.conf.set(stream_sequence.STATE_STORE_CONF, stream_sequence.STATE_STORE)
     stream = spark.readStream.schema(events.schema).parquet(source)
     found = stream_sequence.match_sequence_stream(
-        stream, "user_id", "ts", "event_id", "event_type", ["error", "error"], "1 hour", slice_seconds=86400
+        stream, "user_id", "ts", "event_id", "event_type", ["error", "error"], "1 hour", slice_seconds=86400, groups=8
     )
     out = shared_folder(spark, "matches")
-    files.drain(found, out, shared_folder(spark, "state"))
+    with stream_sequence.state_settings(spark):
+        files.drain(found, out, shared_folder(spark, "state"))
     return spark.read.parquet(out).withColumns(
         {n: F.col(n).cast("timestamp_ntz") for n in ("start_ts", "end_ts")}
     )

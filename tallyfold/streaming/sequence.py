@@ -3,144 +3,145 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE_STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-# One event of a slice, and what its slice already knows about the stretch that starts there.
-_EVENT = T.StructType().add("us", "long").add("id", "long").add("kind", "string")
-_LOOK = T.StructType(
-    [
-        *_EVENT,
-        T.StructField("settled", T.BooleanType()),
-        T.StructField("hit", T.BooleanType()),
-        T.StructField("end_us", T.LongType()),
-        T.StructField("end_id", T.LongType()),
-    ]
-)
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+_EVENT = ("us", "id", "kind")
 _FOUND = ("start_us", "end_us", "start_id", "end_id")
+# Stands in the place of a slice number for rows at the edges; grouping keys must not be null.
+_EDGES = -(2**62)
+
 
+@contextmanager
+def state_settings(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Session settings a stateful stream must be started with: state in RocksDB, changes checkpointed.
 
-def _fits(line: list[tuple], start: int, pattern: Sequence[str]) -> bool:
-    return all(line[start + i][2] == kind for i, kind in enumerate(pattern))
+    ``partitions`` fixes the number of state partitions; by default one per core of the cluster.
+    """
+    wanted = {**STATE_STORE, "spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
-def _replace(state: Any, rows: list[tuple]) -> None:
-    # A list state cannot hold an empty list.
-    if rows:
-        state.put(rows)
-    else:
-        state.clear()
+def _longs(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.LongType()) for n in names]
 
 
 class SliceMatcher(StatefulProcessor):
-    """Holds the events of one key and time slice until the watermark has passed the slice.
+    """Holds the events of some keys in one time slice until the watermark has passed the slice.
 
-    Then puts out the matches inside the slice, and the rows at its edges, which may be part of a match
-    that spans slices. All rows carry the time at which the slice was closed.
+    Then puts out the matches inside the slice, and for each key the rows at the slice's edges, which may
+    be part of a match that spans slices.
     """
 
-    def __init__(self, pattern: Sequence[str], width_ms: int) -> None:
+    def __init__(self, pattern: Sequence[str], width_ms: int, key_type: T.DataType) -> None:
         self.pattern, self.width_ms = list(pattern), width_ms
+        self.stored = T.StructType(
+            [T.StructField("key", key_type), *_longs("us", "id"), T.StructField("kind", T.StringType())]
+        )
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", _EVENT)
+        self.events = handle.getListState("events", self.stored)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for batch in rows:
             if not batch.empty:
-                self.events.appendList(list(batch[list(_EVENT.names)].itertuples(index=False, name=None)))
+                self.events.appendList(list(batch[self.stored.names].itertuples(index=False, name=None)))
         self.handle.registerTimer((key[1] + 1) * self.width_ms)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        line = sorted((tuple(e) for e in self.events.get()), key=lambda e: e[:2])
+        line = pd.DataFrame([tuple(e) for e in self.events.get()], columns=self.stored.names)
         self.events.clear()
+        if line.empty:
+            return
+        line = line.sort_values(["key", "us", "id"], ignore_index=True)
         steps = len(self.pattern) - 1
-        out = []
-        for i, event in enumerate(line):
-            settled = i + steps < len(line)
-            hit = settled and _fits(line, i, self.pattern)
-            edge = i < steps or not settled
-            if hit or edge:
-                end = line[i + steps][:2] if settled else (None, None)
-                out.append((None if edge else key[1], *event, settled, hit, *end))
-        if out:
-            rows = pd.DataFrame(out, columns=["part", *_LOOK.names]).astype(
-                {"part": "Int64", "end_us": "Int64", "end_id": "Int64"}
-            )
-            rows.insert(0, "key", key[0])
-            rows.insert(2, "at", pd.Timestamp((key[1] + 1) * self.width_ms + 1, unit="ms", tz="UTC"))
-            yield rows
+        of_key = line.groupby("key", sort=False)
+        place = of_key.cumcount()
+        line["settled"] = of_key.cumcount(ascending=False) >= steps
+        line["hit"] = line["settled"]
+        for i, kind in enumerate(self.pattern):
+            line["hit"] &= line["kind"].shift(-i) == kind
+        for name in ("us", "id"):
+            line[f"end_{name}"] = line[name].shift(-steps).where(line["settled"]).astype("Int64")
+        edge = (place < steps) | ~line["settled"]
+        line["part"] = edge.map({True: _EDGES, False: int(key[1])})
+        yield line[edge | line["hit"]]
 
     def close(self) -> None:
         pass
 
 
 class EdgeMatcher(StatefulProcessor):
-    """Joins up the edges of a key's slices. Settled matches of one slice come as their own group and pass through.
+    """Joins up the edges of a key's slices; settled matches come as groups of their own and pass through.
 
-    ``waiting`` holds edges of slices the watermark has not yet closed, ``tail`` the last edges a later
-    match may start from: a few rows per slice, however many events it has.
+    A slice is closed once for all its keys, and earlier slices no later than it, so the edges of one batch
+    follow those seen before. ``tail`` holds the last of them, from which a later match may start: never
+    more rows than the pattern has steps.
     """
 
     def __init__(self, pattern: Sequence[str]) -> None:
         self.pattern = list(pattern)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("at_ms", T.LongType()), *_LOOK]))
-        self.tail = handle.getListState("tail", _LOOK)
+        self.tail = handle.getListState(
+            "tail", T.StructType([*_longs("us", "id"), T.StructField("kind", T.StringType())])
+        )
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        edges = []
         for batch in rows:
-            if batch.empty:
-                continue
-            done = batch[batch["hit"].astype(bool)]
+            done = batch[batch["hit"]]
             if not done.empty:
-                yield pd.DataFrame(
-                    {
-                        "key": done["key"],
-                        "start_us": done["us"],
-                        "end_us": done["end_us"].astype("int64"),
-                        "start_id": done["id"],
-                        "end_id": done["end_id"].astype("int64"),
-                    }
-                )
-            if key[1] is None or pd.isna(key[1]):
-                edges = batch[["at_ms", *_LOOK.names]].astype(object)
-                edges = edges.where(edges.notna(), None)
-                self.waiting.appendList(list(edges.itertuples(index=False, name=None)))
-                for at in batch["at_ms"].unique():
-                    self.handle.registerTimer(int(at))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        # Every slice closed by the watermark has been received, so one timer settles them all.
-        closed_ms = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(e) for e in self.waiting.get()]
-        ready = sorted((e[1:] for e in waiting if e[0] <= closed_ms), key=lambda e: e[:2])
-        if not ready:
+                yield self._found(key[0], done["us"], done["end_us"], done["id"], done["end_id"])
+            if key[1] == _EDGES:
+                edges.append(batch[[*_EVENT, "settled"]])
+        if not edges:
             return
-        _replace(self.waiting, [e for e in waiting if e[0] > closed_ms])
         steps = len(self.pattern) - 1
-        line = [tuple(e) for e in self.tail.get()] + ready
+        carried = pd.DataFrame([tuple(e) for e in self.tail.get()], columns=list(_EVENT))
+        carried["settled"] = False
+        fresh = pd.concat(edges).sort_values(["us", "id"])
+        line = pd.concat([carried, fresh], ignore_index=True) if len(carried) else fresh.reset_index(drop=True)
         if steps:
-            _replace(self.tail, line[-steps:])
-        found = [
-            (key[0], line[i][0], line[i + steps][0], line[i][1], line[i + steps][1])
-            for i in range(len(line) - steps)
-            if not line[i][3] and _fits(line, i, self.pattern)
-        ]
-        if found:
-            yield pd.DataFrame(found, columns=["key", *_FOUND])
+            self.tail.put([(int(us), int(i), kind) for us, i, kind in line[list(_EVENT)].tail(steps).values])
+        hit = ~line["settled"].astype(bool)
+        for i, kind in enumerate(self.pattern):
+            hit &= line["kind"].shift(-i) == kind
+        if hit.any():
+            end = line[["us", "id"]].shift(-steps)[hit]
+            start = line[hit]
+            yield self._found(key[0], start["us"], end["us"], start["id"], end["id"])
+
+    @staticmethod
+    def _found(key: Any, *columns: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({n: c.astype("int64") for n, c in zip(_FOUND, columns, strict=True)})
+        out.insert(0, "key", key)
+        return out
 
     def close(self) -> None:
         pass
@@ -154,39 +155,42 @@ def match_sequence_stream(
     kind: str,
     pattern: Sequence[str],
     delay: str,
-    slice_seconds: int = 60,
+    slice_seconds: int = 1,
+    groups: int = 64,
 ) -> DataFrame:
     """The batch matcher's rows for a stream: ``key, start_ts, end_ts, start_id, end_id``.
 
     ``ts`` is a timestamp; events more than ``delay`` behind the newest one are dropped. A match comes out
-    once the watermark has passed the time slice of its last event. Events are grouped by key and time
-    slice, so the events of a busy key are spread over tasks and each state holds one slice of them.
-    Needs the state store named by ``STATE_STORE``.
+    once the watermark has passed the time slice of its last event. Events first meet by time slice and
+    by one of ``groups`` groups of keys: with slices much shorter than a batch, the events of one busy key
+    are spread over tasks, and a state holds no more than one slice. Only what is left at the slices' edges
+    is then brought together by key. Start the query under ``state_settings``.
     """
     width_ms = slice_seconds * 1000
-    slim = events.withWatermark(ts, delay).where(F.col(ts).isNotNull()).select(
-        F.col(key).alias("key"),
+    known = F.col(ts).isNotNull() & F.col(key).isNotNull()
+    slim = events.withWatermark(ts, delay).where(known).select(
+        F.pmod(F.hash(key), F.lit(groups)).alias("group"),
         F.floor(F.unix_micros(ts) / (width_ms * 1000)).alias("slice"),
+        F.col(key).alias("key"),
         F.col(ts).alias("ts"),
         F.unix_micros(ts).alias("us"),
         F.col(order).cast("bigint").alias("id"),
         F.col(kind).alias("kind"),
     )
-    key_field = T.StructField("key", slim.schema["key"].dataType)
-    part_field = T.StructField("part", T.LongType())
-    at_field = T.StructField("at", T.TimestampType())
-    in_slices = slim.groupBy("key", "slice").transformWithStateInPandas(
-        statefulProcessor=SliceMatcher(pattern, width_ms),
-        outputStructType=T.StructType([key_field, part_field, at_field, *_LOOK]),
+    key_type = slim.schema["key"].dataType
+    flags = [T.StructField(n, T.BooleanType()) for n in ("settled", "hit")]
+    matcher = SliceMatcher(pattern, width_ms, key_type)
+    in_slices = slim.groupBy("group", "slice").transformWithStateInPandas(
+        statefulProcessor=matcher,
+        outputStructType=T.StructType([*matcher.stored, *flags, *_longs("end_us", "end_id", "part")]),
         outputMode="Append",
         timeMode="EventTime",
-        eventTimeColumnName="at",
     )
-    matches = in_slices.withColumn("at_ms", F.unix_millis("at")).groupBy("key", "part").transformWithStateInPandas(
+    matches = in_slices.groupBy("key", "part").transformWithStateInPandas(
         statefulProcessor=EdgeMatcher(pattern),
-        outputStructType=T.StructType([key_field, *[T.StructField(n, T.LongType()) for n in _FOUND]]),
+        outputStructType=T.StructType([T.StructField("key", key_type), *_longs(*_FOUND)]),
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="None",
     )
     return matches.select(
         "key",
