@@ -87,7 +87,7 @@ def iso_to_timestamp(text: Column) -> Column:
     """The ISO date and time at the start of the text, as a zone-free timestamp; null if there is none."""
     iso = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})"
     plain = F.concat_ws(" ", F.regexp_extract(text, iso, 1), F.regexp_extract(text, iso, 2))
-    return plain.try_cast("timestamp_ntz")
+    return F.nullif(plain, F.lit(" ")).try_cast("timestamp_ntz")
 
 
 def iso_to_text(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators.columns import col, cols, names, ordering
+from tallyfold.operators.skew import broadcast_if_small
 
 Names = str | Sequence[str]
 
@@ -37,35 +38,43 @@ def merge_replace_if_not_null(df: DataFrame, keys: Names, version: Names) -> Dat
     return df.groupBy(*cols(keys)).agg(*merged)
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: Names, version: Names) -> DataFrame:
+def upsert(
+    base: DataFrame, changes: DataFrame, keys: Names, version: Names, broadcast_rows: int | None = None
+) -> DataFrame:
     """``base`` after ``changes``: a changed key is replaced by its newest change.
 
     Columns are bound by name; a version column that ``base`` lacks is dropped. ``base`` holds one row
-    per key and is only filtered, so small change sets are broadcast and ``base`` is not shuffled.
+    per key and is only filtered, so a small change set is broadcast and ``base`` is not shuffled. With
+    ``broadcast_rows`` the changed keys are counted first, and broadcast if there are no more than that.
     """
     keys = names(keys)
     newest = latest_by_key(changes, keys, version)
-    kept = base.join(newest.select(*cols(keys)), keys, "left_anti")
-    return kept.unionByName(newest.select(*cols(base.columns)))
+    changed = broadcast_if_small(changes.select(*cols(keys)).distinct(), broadcast_rows)
+    return base.join(changed, keys, "left_anti").unionByName(newest.select(*cols(base.columns)))
 
 
-def delete_keys(base: DataFrame, gone: DataFrame, keys: Names) -> DataFrame:
-    """Rows of ``base`` whose key is not listed in ``gone``."""
+def delete_keys(base: DataFrame, gone: DataFrame, keys: Names, broadcast_rows: int | None = None) -> DataFrame:
+    """Rows of ``base`` whose key is not listed in ``gone``; ``broadcast_rows`` as in ``upsert``."""
     keys = names(keys)
-    return base.join(gone.select(*cols(keys)).distinct(), keys, "left_anti")
+    listed = broadcast_if_small(gone.select(*cols(keys)).distinct(), broadcast_rows)
+    return base.join(listed, keys, "left_anti")
 
 
-def insert_if_absent(base: DataFrame, new: DataFrame, keys: Names, order: Names) -> DataFrame:
+def insert_if_absent(
+    base: DataFrame, new: DataFrame, keys: Names, order: Names, broadcast_rows: int | None = None
+) -> DataFrame:
     """``base`` plus the first new row, by ``order``, of every key it does not hold yet.
 
     ``base`` is reduced to the distinct keys that ``new`` also has before the two meet, so a small
     ``new`` never makes ``base`` shuffle and a repeated key never piles up in one task.
+    ``broadcast_rows`` as in ``upsert``.
     """
     keys = names(keys)
     rest = [c for c in new.columns if c not in keys]
     first = new.groupBy(*cols(keys)).agg(F.min_by(F.struct(*cols(rest)), ordering(order)).alias("_first"))
     first = first.select(*cols(keys), "_first.*")
-    held = base.select(*cols(keys)).distinct().join(first.select(*cols(keys)), keys, "left_semi")
+    offered = broadcast_if_small(new.select(*cols(keys)).distinct(), broadcast_rows)
+    held = base.select(*cols(keys)).distinct().join(offered, keys, "left_semi")
     added = first.join(held, keys, "left_anti")
     return base.unionByName(added.select(*cols(base.columns)))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.functions.text import integer_part
+
 
 def latency_summary(df: DataFrame, host: str, value: str, ok: Column) -> DataFrame:
     """Per host: integer part of least, greatest and mean latency of the answered probes, and loss in percent."""
@@ -26,22 +28,26 @@ def parse_ping(df: DataFrame, report: str, sent: int | None = None) -> DataFrame
     """
     text = F.col(report)
 
-    def number(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group).try_cast("bigint")
+    def whole(value: Column) -> Column:
+        # Casting an empty text costs an exception per row; a null does not.
+        return F.nullif(integer_part(value), F.lit("")).try_cast("bigint")
 
-    # Fixed patterns: the summary lines of the two tools.
-    linux = r"min/avg/max/mdev = (\d+)[.\d]*/(\d+)[.\d]*/(\d+)"
-    windows = r" = (\d+)ms[,，][^\n]*? = (\d+)ms[,，][^\n]*? = (\d+)ms"
-    lost_percent = r"\((\d+)%"
-    reply = r"(?im)^[^\n]*icmp_seq[^\n]*ttl[^\n]*$"
+    # Fixed patterns: the summary lines of the two tools. One match each, then cut by separator.
+    linux = F.split(F.regexp_extract(text, r"min/avg/max/mdev = ([\d./]+)", 1), "/")
+    windows = F.regexp_extract_all(F.regexp_extract(text, r" = \d+ms[,，][^\n]*", 0), F.lit(r" = (\d+)ms"), 1)
+    lost_percent = whole(F.regexp_extract(text, r"\((\d+)%", 1))
 
-    transmitted = F.lit(sent).cast("bigint") if sent else number(r"(\d+) packets transmitted", 1)
-    answered = F.size(F.regexp_extract_all(text, F.lit(reply), 0))
+    transmitted = F.lit(sent) if sent else whole(F.regexp_extract(text, r"(\d+) packets transmitted", 1))
+    lines = F.split(F.lower(text), "\n")
+    answered = F.size(F.filter(lines, lambda line: F.contains(line, F.lit("icmp_seq")) & F.contains(line, F.lit("ttl"))))
     linux_loss = F.floor(100 * (transmitted - answered) / transmitted)
-    return df.select(
-        "*",
-        F.coalesce(number(linux, 1), number(windows, 1)).alias("min"),
-        F.coalesce(number(linux, 3), number(windows, 2)).alias("max"),
-        F.coalesce(number(linux, 2), number(windows, 3)).alias("avg"),
-        F.coalesce(number(lost_percent, 1), linux_loss).alias("loss"),
+
+    parts = df.select("*", linux.alias("_l"), windows.alias("_w"))
+    first, second, third = F.lit(0), F.lit(1), F.lit(2)
+    return parts.select(
+        *[F.col(c) for c in df.columns],
+        F.coalesce(whole(F.get("_l", first)), whole(F.get("_w", first))).alias("min"),
+        F.coalesce(whole(F.get("_l", third)), whole(F.get("_w", second))).alias("max"),
+        F.coalesce(whole(F.get("_l", second)), whole(F.get("_w", third))).alias("avg"),
+        F.coalesce(lost_percent, linux_loss).alias("loss"),
     )

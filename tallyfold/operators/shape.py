@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.operators.columns import cols
 
@@ -20,7 +21,14 @@ def head_rows(df: DataFrame, n: int = 10, order: str | Sequence[str] | None = No
 
 
 def ordered(df: DataFrame, by: str | Sequence[str]) -> DataFrame:
-    return df.orderBy(*cols(by))
+    """Rows in order. Equal keys are ordered by a hash of the row, so a common key is cut into several ranges."""
+    hashed = [f.name for f in df.schema if not _holds_map(f.dataType)]
+    return df.orderBy(*cols(by), F.xxhash64(*cols(hashed)))
+
+
+def _holds_map(data_type: T.DataType) -> bool:
+    # Spark does not hash maps.
+    return "map<" in data_type.simpleString()
 
 
 def project(df: DataFrame, wanted: Sequence[str]) -> DataFrame:

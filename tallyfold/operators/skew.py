@@ -1,4 +1,4 @@
-"""Finding the keys that hold too large a share of a table."""
+"""Measured bounds: keys that hold too large a share of a table, and sides small enough to broadcast."""
 
 from __future__ import annotations
 
@@ -23,6 +23,17 @@ def heavy_keys(
     whatever the size of the table: the result is safe to broadcast. ``extra`` adds aggregates per key.
     """
     counts = df.groupBy(*cols(keys)).agg(F.count("*").alias("_rows"), *extra)
-    total = counts.agg(F.sum("_rows")).scalar()
+    total = df.agg(F.count("*")).scalar()
     times = F.col("_rows") / F.greatest(F.lit(floor), total * share)
     return counts.withColumn("times", times).where(F.col("times") > 1).drop("_rows")
+
+
+def broadcast_if_small(df: DataFrame, rows: int | None) -> DataFrame:
+    """Mark ``df`` for broadcast if a count shows at most ``rows`` rows; otherwise leave the choice to Spark.
+
+    The count is a job of its own. It pays where the other side of the join is far larger: adaptive
+    execution learns a side's size only while it already shuffles the other one.
+    """
+    if rows is not None and df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    return df
