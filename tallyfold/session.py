@@ -26,6 +26,25 @@ def local_session(app: str = "tallyfold", cores: str | int = "*", partitions: in
     )
 
 
+def scale_settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
+    """Session settings for a job that shuffles about ``shuffle_bytes`` on ``cores`` executor cores.
+
+    Shuffle partitions start at about 128 MB each and at least two per core; adaptive execution then joins
+    the small ones and cuts the large ones. Scans read 256 MB splits.
+    """
+    target = 128 * 1024 * 1024
+    return {
+        "spark.sql.shuffle.partitions": str(max(2 * cores, -(-shuffle_bytes // target))),
+        "spark.sql.files.maxPartitionBytes": str(2 * target),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target),
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    }
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder named by ``spark.checkpoint.dir``.
 

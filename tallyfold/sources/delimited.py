@@ -66,6 +66,11 @@ def load_delimited(
     return reader.csv(path, multiLine=quoted_breaks).select(*typed_columns(schema))
 
 
+def load_into_table(spark: SparkSession, path: str | list[str], table: str, sep: str | None = None) -> None:
+    """Append delimited files to an existing table; fields are bound by position."""
+    load_delimited(spark, path, spark.table(table).schema, sep).write.insertInto(table)
+
+
 def write_delimited(df: DataFrame, path: str, sep: str | None = None) -> None:
     """Write a folder of delimited parts that ``load_delimited`` reads back, nulls included."""
     sep = sep or separator_for(path)
@@ -88,11 +93,14 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def load_folder(spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType]) -> dict[str, DataFrame]:
+def load_folder(
+    spark: SparkSession, folder: str, schemas: Mapping[str, T.StructType] | None = None
+) -> dict[str, DataFrame]:
     """Load a folder, subfolders included: ``.sql`` files are run in path order, others become tables.
 
-    Files of one name and kind are read together. Only the list of file names reaches the driver, which
-    the reader needs there anyway.
+    The schema of a table is taken from ``schemas``, else from the catalog's table of that name, which a
+    script of the same folder may have created. Files of one name and kind are read together. Only the
+    list of file names reaches the driver, which the reader needs there anyway.
     """
     files = list_files(spark, folder).orderBy("path").collect()
     scripts = [f.path for f in files if f.suffix == "sql"]
@@ -102,16 +110,26 @@ def load_folder(spark: SparkSession, folder: str, schemas: Mapping[str, T.Struct
     for f in files:
         if f.suffix != "sql":
             groups.setdefault((f.table, SEPARATORS.get(f.suffix, OTHER_SEPARATOR)), []).append(literal_path(f.path))
-    missing = sorted({table for table, _ in groups} - set(schemas))
-    if missing:
-        raise KeyError(f"no schema for {', '.join(missing)}")
+    known = dict(schemas or {})
+    for table in sorted({table for table, _ in groups} - set(known)):
+        if not spark.catalog.tableExists(f"`{table}`"):
+            raise KeyError(f"no schema for {table}")
+        known[table] = spark.table(f"`{table}`").schema
     tables: dict[str, DataFrame] = {}
     for (table, sep), paths in groups.items():
-        loaded = load_delimited(spark, paths, schemas[table], sep)
+        loaded = load_delimited(spark, paths, known[table], sep)
         tables[table] = tables[table].unionByName(loaded) if table in tables else loaded
     return tables
 
 
+def load_folder_into_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Load a folder and append what it holds to the catalog's tables; returns the names of the tables."""
+    loaded = load_folder(spark, folder)
+    for table, rows in loaded.items():
+        rows.write.insertInto(f"`{table}`")
+    return sorted(loaded)
+
+
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of plain or compressed text (gz, bz2, deflate, zst by suffix), one column ``value``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.functions.text import BLANKS, first_field, last_field, strip_line
+from tallyfold.functions.text import BLANKS, first_field, last_field, strip_line, translate_with_suffix
 from tallyfold.operators.keyed import last_definition
 
 
@@ -49,6 +49,11 @@ def read_properties(
     return last_definition(scan_properties(spark, paths, comment, sep, value_rule))
 
 
+def look_up(params: DataFrame, key: str, source: str = "", target: str = "", suffix: str = "") -> DataFrame:
+    """The value of one key, its characters mapped from ``source`` to ``target`` and ``suffix`` added."""
+    return params.where(F.col("key") == key).select(translate_with_suffix(F.col("value"), source, target, suffix).alias("value"))
+
+
 def read_xml_properties(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``name, value`` of every ``<property>`` in XML files; commented-out ones are skipped.
 

@@ -62,6 +62,19 @@ def test_folder(spark, rows, tmp_path):
         delimited.load_folder(spark, str(tmp_path), {"order_items": schema})
 
 
+def test_folder_into_tables(spark, rows, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "loaded-rows.csv").write_text("1,a\n2,b\n")
+    (tmp_path / "in" / "create.sql").write_text(
+        f"CREATE TABLE IF NOT EXISTS loaded_rows (n int, s string) USING parquet LOCATION '{tmp_path}/t'"
+    )
+    for _ in range(2):
+        assert delimited.load_folder_into_tables(spark, str(tmp_path / "in")) == ["loaded_rows"]
+    delimited.load_into_table(spark, str(tmp_path / "in" / "loaded-rows.csv"), "loaded_rows")
+    assert rows(spark.table("loaded_rows")) == [(1, "a")] * 3 + [(2, "b")] * 3
+    spark.sql("DROP TABLE loaded_rows")
+
+
 def test_compressed_text(spark, rows, tmp_path):
     (tmp_path / "a.gz").write_bytes(gzip.compress("一\n".encode()))
     (tmp_path / "b.bz2").write_bytes(bz2.compress(b"two\nlines"))
@@ -98,6 +111,8 @@ def test_properties(spark, tmp_path):
     (tmp_path / "server.conf").write_bytes(CONF.encode())
     found = {r.key: r.value for r in properties.read_properties(spark, str(tmp_path)).collect()}
     assert found == {"server.user": "root", "server.hosts": "a:1,b:2", "url": "1", "flag": "flag", "last": "kept"}
+    hosts = properties.look_up(properties.read_properties(spark, str(tmp_path)), "server.hosts", ",", " ", "!")
+    assert hosts.first().value == "a:1 b:2!"
     rest = properties.read_properties(spark, str(tmp_path), value_rule="rest")
     assert {r.key: r.value for r in rest.collect()}["url"] == "http://x?q=1"
     assert {r.key: r.value for r in rest.collect()}["flag"] == "flag"
