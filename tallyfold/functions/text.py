@@ -43,8 +43,8 @@ def split_list(text: Column, sep: str = ",") -> Column:
 
 def with_port(text: Column, port: int, path: str = "", sep: str = ",") -> Column:
     """``a,b`` becomes ``a:port,b:port``; every element gets the port, the last one too."""
-    tail = F.lit(f":{port}{path}")
-    return F.array_join(F.transform(split_list(text, sep), lambda host: F.concat(host, tail)), sep)
+    tail = f":{port}{path}"
+    return F.concat(F.replace(text, F.lit(sep), F.lit(tail + sep)), F.lit(tail))
 
 
 def address_pairs(text: Column, sep: str = ",") -> Column:

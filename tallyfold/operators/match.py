@@ -17,16 +17,14 @@ def match_processes(
 
     The service names are a literal list tested inside the scan, so nothing is joined or shuffled.
     """
-    command = F.lower("cmd")
-    kept = ps
+    command = F.col("_command")
+    kept = ps.withColumn("_command", F.lower("cmd"))
     for word in exclude:
         kept = kept.where(~F.contains(command, F.lit(word.lower())))
     if owner is not None:
         kept = kept.where(F.contains(F.lower("owner"), F.lit(owner.lower())))
-    hits = F.array_compact(
-        F.array(*[F.when(F.contains(command, F.lit(s.lower())), F.lit(s)) for s in services])
-    )
-    return kept.select("*", F.explode(hits).alias("service"))
+    hits = F.array(*[F.when(F.contains(command, F.lit(s.lower())), F.lit(s)) for s in services])
+    return kept.select("*", F.explode(hits).alias("service")).where(F.col("service").isNotNull()).drop("_command")
 
 
 def check_roster(expected: DataFrame, observed: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import keyed, shape
 from tallyfold.plans.registry import query, table
+from tallyfold.session import shared_folder
 
 
 @query("""
@@ -148,6 +149,15 @@ def hash_buckets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS top FROM orders GROUP BY o_custkey")
+def bucketed_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A saved table of hash buckets, then an aggregate on its key, which reads the buckets without a shuffle."""
+    path = shared_folder(spark, "orders")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    keyed.write_bucketed(table(spark, folder, "orders"), name, "o_custkey", 8, path=path)
+    return spark.table(name).groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("top"))
+
+
 @query("""
     SELECT event_type AS file, user_id AS key, max(event_id) AS pos, arg_max(props, event_id) AS value
     FROM events GROUP BY event_type, user_id

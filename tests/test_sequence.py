@@ -65,14 +65,14 @@ def test_heavy_keys_are_few(spark, rows):
     assert heavy_keys(df, "k", share=1 / 10, floor=4000).count() == 0
 
 
-@pytest.mark.parametrize("pattern", ["x", "xyx"])
-def test_stream_equals_batch(spark, pattern):
+@pytest.mark.parametrize(("pattern", "parts"), [("x", 1), ("xyx", 4)])
+def test_stream_equals_batch(spark, pattern, parts):
     """Several batches, each out of order within the watermark delay."""
     events = sorted(make_events(7, n=400), key=lambda e: e[1])
     events = [e for e in events if e[0] != "c"]
     source = shared_folder(spark, "events")
     schema = "k string, ts timestamp, id bigint, kind string"
-    step = len(events) // 4 + 1
+    step = len(events) // parts + 1
     batches = [events[i : i + step] for i in range(0, len(events), step)]
     batches.append([("beat", START + datetime.timedelta(days=9), -1, "beat")])
     out, checkpoint = shared_folder(spark, "matches"), shared_folder(spark, "state")
