@@ -41,16 +41,21 @@ def merge_replace_if_not_null(df: DataFrame, keys: Names, version: Names) -> Dat
 def upsert(
     base: DataFrame, changes: DataFrame, keys: Names, version: Names, broadcast_rows: int | None = None
 ) -> DataFrame:
-    """``base`` after ``changes``: a changed key is replaced by its newest change.
+    """``base`` after ``changes``: the newest row of every key.
 
-    Columns are bound by name; a version column that ``base`` lacks is dropped. ``base`` holds one row
-    per key and is only filtered, so a small change set is broadcast and ``base`` is not shuffled. With
-    ``broadcast_rows`` the changed keys are counted first, and broadcast if there are no more than that.
+    Without the version columns in ``base`` every change is newer than it, and they are dropped; with them
+    a late change does not undo a newer row. Columns are bound by name and ``base`` holds one row per key.
+    ``base`` is only filtered by the changed keys, so a small change set is broadcast and ``base`` is not
+    shuffled. With ``broadcast_rows`` the changed keys are counted first, and broadcast if there are no more.
     """
-    keys = names(keys)
-    newest = latest_by_key(changes, keys, version)
+    keys, versions = names(keys), names(version)
     changed = broadcast_if_small(changes.select(*cols(keys)).distinct(), broadcast_rows)
-    return base.join(changed, keys, "left_anti").unionByName(newest.select(*cols(base.columns)))
+    if set(versions) <= set(base.columns):
+        rivals = base.join(changed, keys, "left_semi").unionByName(changes.select(*cols(base.columns)))
+    else:
+        rivals = changes
+    newest = latest_by_key(rivals, keys, versions).select(*cols(base.columns))
+    return base.join(changed, keys, "left_anti").unionByName(newest)
 
 
 def delete_keys(base: DataFrame, gone: DataFrame, keys: Names, broadcast_rows: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.operators import shape
+from tallyfold.operators import keyed, shape
 from tallyfold.plans.match import PAIR_SQL
 from tallyfold.plans.registry import query, table
 from tallyfold.session import shared_folder
@@ -221,8 +221,7 @@ def retention(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
-def create_table(spark: SparkSession, folder: str) -> DataFrame:
+def _customer_table(spark: SparkSession, folder: str) -> str:
     schema = T.StructType(
         [
             T.StructField("c_custkey", T.LongType(), metadata={"comment": "customer number"}),
@@ -234,6 +233,25 @@ def create_table(spark: SparkSession, folder: str) -> DataFrame:
     name = location.rsplit("/", 1)[-1].replace("-", "_")
     tables.create_table(spark, name, schema, "who buys", location)
     table(spark, folder, "customer").select(*schema.names).write.insertInto(name)
+    return name
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def create_table(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.table(_customer_table(spark, folder))
+
+
+@query("""
+    SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'MACHINES' ELSE c_mktsegment END AS c_mktsegment
+    FROM customer WHERE c_mktsegment <> 'BUILDING'
+""")
+def rewrite_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A table changed in place: some rows upserted under a new segment, others deleted."""
+    name = _customer_table(spark, folder)
+    rows = spark.table(name)
+    renamed = rows.where("c_mktsegment = 'MACHINERY'").withColumns({"c_mktsegment": F.lit("MACHINES"), "v": F.lit(1)})
+    after = keyed.upsert(rows, renamed, "c_custkey", "v")
+    tables.replace_rows(spark, name, shape.delete_where(after, F.col("c_mktsegment") == "BUILDING"))
     return spark.table(name)
 
 

@@ -60,6 +60,18 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.upsert(base, changes, "k", "o_orderkey")
 
 
+@query("""
+    SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
+           arg_max(value, event_id) AS value
+    FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id
+""")
+def upsert_versioned(spark: SparkSession, folder: str) -> DataFrame:
+    """Sign-ups as they stand, then purchases, some of them older than the sign-up they meet."""
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
+    base = keyed.latest_by_key(events.where("event_type = 'signup'"), "user_id", "event_id")
+    return keyed.upsert(base, events.where("event_type = 'purchase'"), "user_id", "event_id")
+
+
 @query("""
     SELECT * FROM customer WHERE NOT EXISTS (
         SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P')

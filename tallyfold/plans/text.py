@@ -180,7 +180,7 @@ def host_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_id, datediff('day', DATE '1970-01-01', ts::DATE) AS day, epoch_us(ts) // 1000 AS ts,
+    SELECT event_id, datediff('day', DATE '1970-01-01', ts::DATE)::INTEGER AS day, epoch_us(ts) // 1000 AS ts,
            upper(hex(event_type)) AS event_type, value
     FROM events
 """)

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.operators.columns import cols
+from tallyfold.session import shared_folder
+
 COMMENT = "comment"
 DAY = "day"
 
@@ -45,6 +48,17 @@ def append_rows(df: DataFrame, rows: Sequence[tuple], columns: Sequence[str] | N
     return df.unionByName(literal, allowMissingColumns=True)
 
 
+def replace_rows(spark: SparkSession, name: str, rows: DataFrame) -> None:
+    """Make ``rows`` the content of a table they may themselves be read from, as an upsert or delete does.
+
+    The rows are first written below the shared folder, so the table is never read while it is overwritten,
+    and a failed overwrite can be done again from there.
+    """
+    staged = shared_folder(spark, "staged")
+    rows.select(*cols(spark.table(name).columns)).write.parquet(staged)
+    spark.read.parquet(staged).write.insertInto(name, overwrite=True)
+
+
 def retained(df: DataFrame, ts: str, keep_hours: int = 168) -> DataFrame:
     """Rows no older than ``keep_hours`` before the newest one.
 

@@ -17,6 +17,13 @@ def test_upsert_then_delete(spark, rows):
     assert rows(keyed.delete_keys(after, gone, "id")) == [(1002, "李四", 36, 1)]
 
 
+def test_a_late_change_does_not_undo_a_newer_row(spark, rows):
+    base = spark.createDataFrame([(1, "new", 9), (2, "old", 1), (3, "only", 5)], "k int, x string, v int")
+    changes = spark.createDataFrame([("late", 1, 8), ("newer", 2, 2), ("added", 4, 1)], "x string, k int, v int")
+    after = keyed.upsert(base, changes, "k", "v")
+    assert rows(after) == [(1, "new", 9), (2, "newer", 2), (3, "only", 5), (4, "added", 1)]
+
+
 def test_upsert_keeps_the_base_unshuffled(spark, tmp_path):
     spark.range(1000).withColumn("x", F.col("id") * 2).write.parquet(str(tmp_path / "base"))
     spark.createDataFrame([(3, 0, 1)], "id bigint, x bigint, v int").write.parquet(str(tmp_path / "changes"))

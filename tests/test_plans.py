@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from oracle import duck, rows_of, rows_of_sql
 
 QUERIES = driver.queries()
 # Their plans read a folder that a finished stream or write left behind.
@@ -18,6 +19,27 @@ def test_no_pairs_and_no_python(spark, name):
         assert word not in plan, plan
 
 
+JOINS = [
+    "upsert", "upsert_versioned", "delete_keys", "insert_if_absent", "roster_check", "failing_checks", "fill_from_table",
+    "column_stats", "ndv_sketch", "stats_coverage",
+]
+
+
+@pytest.mark.parametrize("name", JOINS)
+def test_joins_have_another_way_than_broadcast(spark, name):
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for threshold in thresholds:
+        spark.conf.set(threshold, "-1")
+    try:
+        result = QUERIES[name](spark, driver.SMOKE)
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert rows_of(result) == rows_of_sql(duck(driver.SMOKE), driver.oracle_sql()[name])
+    finally:
+        for threshold in thresholds:
+            spark.conf.unset(threshold)
+
+
 def test_scans_read_only_what_is_asked(spark):
     plan = QUERIES["agg_key_merge"](spark, driver.SMOKE)._jdf.queryExecution().executedPlan().toString()
     assert "ts:" not in plan
