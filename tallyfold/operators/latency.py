@@ -38,8 +38,10 @@ def parse_ping(df: DataFrame, report: str, sent: int | None = None) -> DataFrame
     lost_percent = whole(F.regexp_extract(text, r"\((\d+)%", 1))
 
     transmitted = F.lit(sent) if sent else whole(F.regexp_extract(text, r"(\d+) packets transmitted", 1))
-    lines = F.split(F.lower(text), "\n")
-    answered = F.size(F.filter(lines, lambda line: F.contains(line, F.lit("icmp_seq")) & F.contains(line, F.lit("ttl"))))
+    def is_reply(line: Column) -> Column:
+        return F.contains(line, F.lit("icmp_seq")) & F.contains(line, F.lit("ttl"))
+
+    answered = F.size(F.filter(F.split(F.lower(text), "\n"), is_reply))
     linux_loss = F.floor(100 * (transmitted - answered) / transmitted)
 
     parts = df.select("*", linux.alias("_l"), windows.alias("_w"))

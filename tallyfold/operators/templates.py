@@ -60,7 +60,8 @@ def _fill_from_table(templates: DataFrame, params: DataFrame, text: str, keys: l
     )
     # The piece without a mark has no key to join on: the slot spreads those pieces over all tasks.
     exploded = exploded.withColumn("_slot", F.when(F.col("_key").isNull(), F.xxhash64(*cols(keys))).otherwise(F.lit(0)))
-    values = params.select(F.col("key").alias("_key"), F.col("value").alias("_value"), F.lit(0).cast("bigint").alias("_slot"))
+    slot = F.lit(0).cast("bigint").alias("_slot")
+    values = params.select(F.col("key").alias("_key"), F.col("value").alias("_value"), slot)
     shown = F.coalesce("_value", F.concat(F.lit("${"), "_key", F.lit("}")), F.lit(""))
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat("_plain", shown).alias("piece"))))
     joined = F.array_join(F.transform(ordered, lambda p: p["piece"]), "")

@@ -55,7 +55,10 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
     )
     urgent = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
     changes = urgent.select(
-        F.col("o_custkey").alias("k"), F.lit("order").alias("origin"), F.col("o_totalprice").alias("amount"), "o_orderkey"
+        F.col("o_custkey").alias("k"),
+        F.lit("order").alias("origin"),
+        F.col("o_totalprice").alias("amount"),
+        "o_orderkey",
     )
     return keyed.upsert(base, changes, "k", "o_orderkey")
 
@@ -104,7 +107,10 @@ def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_custkey").alias("k"), F.lit("customer").alias("origin"), F.col("c_acctbal").alias("amount")
     )
     new = table(spark, folder, "orders").select(
-        F.col("o_custkey").alias("k"), F.lit("order").alias("origin"), F.col("o_totalprice").alias("amount"), "o_orderkey"
+        F.col("o_custkey").alias("k"),
+        F.lit("order").alias("origin"),
+        F.col("o_totalprice").alias("amount"),
+        "o_orderkey",
     )
     return keyed.insert_if_absent(base, new, "k", "o_orderkey")
 
@@ -167,7 +173,8 @@ def bucketed_table(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "orders")
     name = path.rsplit("/", 1)[-1].replace("-", "_")
     keyed.write_bucketed(table(spark, folder, "orders"), name, "o_custkey", 8, path=path)
-    return spark.table(name).groupBy("o_custkey").agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("top"))
+    by_customer = spark.table(name).groupBy("o_custkey")
+    return by_customer.agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("top"))
 
 
 @query("""
@@ -177,8 +184,11 @@ def bucketed_table(spark: SparkSession, folder: str) -> DataFrame:
 def last_definition(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     definitions = events.select(
-        F.col("event_type").alias("file"), F.col("user_id").alias("key"), F.col("event_id").alias("pos"), F.col("props").alias("value")
-    )
+        F.col("event_type").alias("file"),
+        F.col("user_id").alias("key"),
+        F.col("event_id").alias("pos"),
+        F.col("props").alias("value"),
+    )
     return keyed.last_definition(definitions)
 
 

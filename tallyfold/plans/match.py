@@ -37,8 +37,11 @@ _CHECKS_SQL = """
 def _checks(spark: SparkSession, folder: str) -> DataFrame:
     status = F.explode(F.array(F.lit("O"), F.lit("F"), F.lit("P")))
     expected = table(spark, folder, "customer").select(
-        F.col("c_name").alias("cluster"), F.col("c_custkey").alias("host"), status.alias("service"), F.lit(2).alias("expected")
-    )
+        F.col("c_name").alias("cluster"),
+        F.col("c_custkey").alias("host"),
+        status.alias("service"),
+        F.lit(2).alias("expected"),
+    )
     observed = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("host"), F.col("o_orderstatus").alias("service")
     )
@@ -79,8 +82,8 @@ def _templates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
     SELECT c_custkey, c_mktsegment,
-           'Dear ' || c_name || ' of ' || CASE c_nationkey WHEN 7 THEN 'seven' ELSE '${nation_' || c_nationkey || '}' END
-               || ': ${unset}$' AS text
+           'Dear ' || c_name || ' of ' || CASE c_nationkey WHEN 7 THEN 'seven'
+               ELSE '${nation_' || c_nationkey || '}' END || ': ${unset}$' AS text
     FROM customer
 """)
 def fill_from_mapping(spark: SparkSession, folder: str) -> DataFrame:

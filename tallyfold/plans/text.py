@@ -215,9 +215,13 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 
     def row(name: Column, size: Column, date: Column) -> Column:
         return F.format_string(
-            '<tr><td class="link"><a href="%s" title="x">%s</a></td><td class="size">%s</td><td class="date">%s</td></tr>',
-            name, name, size, date,
-        )
+            '<tr><td class="link"><a href="%s" title="x">%s</a></td>'
+            '<td class="size">%s</td><td class="date">%s</td></tr>',
+            name,
+            name,
+            size,
+            date,
+        )
 
     size = F.concat("p_size", F.lit("K"))
     body = F.concat(
@@ -227,5 +231,6 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
         row(F.concat("p_brand", F.lit(".rpm")), size, F.col("p_type")),
         F.lit("</tbody></table>"),
     )
-    pages = part.select("p_partkey", F.concat(F.lit("/pub/"), "p_brand", F.lit("/")).alias("base"), body.alias("html"))
+    base = F.concat(F.lit("/pub/"), "p_brand", F.lit("/"))
+    pages = part.select("p_partkey", base.alias("base"), body.alias("html"))
     return html.extract_listing(pages, "base", "html")

@@ -28,18 +28,15 @@ def scan_properties(
     found = lines.select(F.col("_metadata.file_path").alias("file"), where.alias("pos"), param.alias("param"))
     found = found.where(F.col("param") != "")
     whole = F.col("param")
+    key = first_field(whole, sep)
     if value_rule == "last":
         value = last_field(whole, sep)
     else:
         # Without a separator the only field is both key and value.
-        after = F.expr("substring(param, length(split_part(param, :sep, 1)) + 1 + length(:sep))".replace(":sep", _sql(sep)))
+        after = F.substr(whole, F.length(key) + F.lit(len(sep) + 1))
         value = F.when(F.contains(whole, F.lit(sep)), after).otherwise(whole)
     blanks = F.lit(BLANKS)
-    return found.select("file", "pos", F.btrim(first_field(whole, sep), blanks).alias("key"), F.btrim(value, blanks).alias("value"))
-
-
-def _sql(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return found.select("file", "pos", F.btrim(key, blanks).alias("key"), F.btrim(value, blanks).alias("value"))
 
 
 def read_properties(
@@ -51,7 +48,8 @@ def read_properties(
 
 def look_up(params: DataFrame, key: str, source: str = "", target: str = "", suffix: str = "") -> DataFrame:
     """The value of one key, its characters mapped from ``source`` to ``target`` and ``suffix`` added."""
-    return params.where(F.col("key") == key).select(translate_with_suffix(F.col("value"), source, target, suffix).alias("value"))
+    value = translate_with_suffix(F.col("value"), source, target, suffix)
+    return params.where(F.col("key") == key).select(value.alias("value"))
 
 
 def read_xml_properties(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -34,7 +34,8 @@ def test_upsert_keeps_the_base_unshuffled(spark, tmp_path):
 
 def test_counted_keys_are_broadcast_only_within_the_bound(spark, rows):
     base = spark.range(100).withColumn("x", F.lit(0))
-    changes = spark.range(0, 10).selectExpr("id", "1 AS x", "id AS v").union(spark.range(5, 10).selectExpr("id", "2", "100"))
+    early, late = spark.range(0, 10), spark.range(5, 10)
+    changes = early.selectExpr("id", "1 AS x", "id AS v").union(late.selectExpr("id", "2", "100"))
     plans = {}
     for limit in (9, 10):
         after = keyed.upsert(base, changes, "id", "v", broadcast_rows=limit)
@@ -108,7 +109,8 @@ def test_put_leaves_out_nulls(spark, rows):
 
 
 def test_last_definition(spark, rows):
-    df = spark.createDataFrame([("f", "k", 1, "a"), ("f", "k", 2, "b"), ("g", "k", 0, "c")], "file string, key string, pos int, value string")
+    lines = [("f", "k", 1, "a"), ("f", "k", 2, "b"), ("g", "k", 0, "c")]
+    df = spark.createDataFrame(lines, "file string, key string, pos int, value string")
     assert rows(keyed.last_definition(df), "file", "key", "value") == [("f", "k", "b"), ("g", "k", "c")]
 
 

@@ -24,11 +24,10 @@ def test_roster(spark, rows):
     assert rows(seen.groupBy("host", "service").count()) == [
         ("h1", "NameNode", 1), ("h2", "DataNode", 2), ("h3", "worker", 2),
     ]
-    roster = spark.createDataFrame(
-        [("c", "h1", "NameNode", 1), ("c", "h2", "DataNode", 1), ("n", "h3", "worker", 2), ("z", "h9", "worker", 1)], ROSTER
-    )
-    checks = match.check_roster(roster, seen)
-    assert rows(checks, "host", "observed", "ok") == [("h1", 1, True), ("h2", 2, False), ("h3", 2, True), ("h9", 0, False)]
+    wanted = [("c", "h1", "NameNode", 1), ("c", "h2", "DataNode", 1), ("n", "h3", "worker", 2), ("z", "h9", "worker", 1)]
+    checks = match.check_roster(spark.createDataFrame(wanted, ROSTER), seen)
+    found = [("h1", 1, True), ("h2", 2, False), ("h3", 2, True), ("h9", 0, False)]
+    assert rows(checks, "host", "observed", "ok") == found
     assert rows(match.rollup_status(checks)) == [("c", "PARTIAL", 1, 1), ("n", "RUNNING", 1, 0), ("z", "STOP", 0, 1)]
     assert rows(match.failing_checks(checks), "cluster", "host", "service") == [("c", "h2", "DataNode")]
 

@@ -19,10 +19,10 @@ def test_no_pairs_and_no_python(spark, name):
         assert word not in plan, plan
 
 
-JOINS = [
-    "upsert", "upsert_versioned", "delete_keys", "insert_if_absent", "roster_check", "failing_checks", "fill_from_table",
-    "column_stats", "ndv_sketch", "stats_coverage",
-]
+JOINS = (
+    "upsert upsert_versioned delete_keys insert_if_absent roster_check failing_checks fill_from_table column_stats "
+    "ndv_sketch stats_coverage"
+).split()
 
 
 @pytest.mark.parametrize("name", JOINS)

@@ -42,7 +42,8 @@ def test_quoted_line_breaks(spark, rows, tmp_path):
 
 
 def test_round_trip_keeps_nulls(spark, rows, tmp_path):
-    df = spark.createDataFrame([(1, 'q"|x', 2.0, None), (2, None, None, datetime.date(2020, 1, 1)), (3, "", 0.5, None)], PERSON)
+    people = [(1, 'q"|x', 2.0, None), (2, None, None, datetime.date(2020, 1, 1)), (3, "", 0.5, None)]
+    df = spark.createDataFrame(people, PERSON)
     delimited.write_delimited(df, str(tmp_path / "t.psv"))
     assert rows(delimited.load_delimited(spark, str(tmp_path / "t.psv"), PERSON)) == rows(df)
 
@@ -52,7 +53,8 @@ def test_folder(spark, rows, tmp_path):
     (tmp_path / "order-items.csv").write_text("1,a\n")
     (tmp_path / "deep" / "order-items.psv").write_text("2|b\n")
     (tmp_path / "deep" / "odd[1].ssv").write_text("3;c\n")
-    (tmp_path / "deep" / "setup.sql").write_text("CREATE OR REPLACE TEMPORARY VIEW from_folder AS SELECT 42 AS n; -- done\n")
+    script = "CREATE OR REPLACE TEMPORARY VIEW from_folder AS SELECT 42 AS n; -- done\n"
+    (tmp_path / "deep" / "setup.sql").write_text(script)
     schema = T.StructType().add("n", "integer").add("s", "string")
     loaded = delimited.load_folder(spark, str(tmp_path), {"order_items": schema, "odd[1]": schema})
     assert rows(loaded["order_items"]) == [(1, "a"), (2, "b")]
@@ -104,7 +106,10 @@ def test_script_files(spark, tmp_path):
     assert result.first().n == 2
 
 
-CONF = "# all\r\nserver.user = ops   # who\r\n\n  \t\nserver.hosts=a:1,b:2\nurl = http://x?q=1\nserver.user= root\n#x=1\nflag\nlast=kept"
+CONF = (
+    "# all\r\nserver.user = ops   # who\r\n\n  \t\nserver.hosts=a:1,b:2\nurl = http://x?q=1\n"
+    "server.user= root\n#x=1\nflag\nlast=kept"
+)
 
 
 def test_properties(spark, tmp_path):

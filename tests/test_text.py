@@ -73,7 +73,8 @@ def test_word_count(spark, rows):
 
 
 def test_matches(spark):
-    df = spark.createDataFrame([("ERROR: a",), ("error: already exists",), ("fine",), ("ERROR: a",), (None,)], "l string")
+    lines = ["ERROR: a", "error: already exists", "fine", "ERROR: a", None]
+    df = spark.createDataFrame([(line,) for line in lines], "l string")
     assert shape.match_count(df, "l", "error:", "already exists").first()[0] == 2
     assert aggregate.distinct_match_count(df, "l", "error").first()[0] == 2
 
@@ -105,7 +106,8 @@ WINDOWS_OTHER = "    数据包: 已发送 = 4，已接收 = 4，丢失 = 0 (0% 
 
 
 def test_ping_reports(spark):
-    df = spark.createDataFrame([("l", LINUX), ("w", WINDOWS), ("z", WINDOWS_OTHER), ("x", "unknown host")], "h string, r string")
+    reports = {"l": LINUX, "w": WINDOWS, "z": WINDOWS_OTHER, "x": "unknown host"}
+    df = spark.createDataFrame(list(reports.items()), "h string, r string")
     found = {r.h: (r.min, r.max, r.avg, r.loss) for r in latency.parse_ping(df, "r").collect()}
     assert found == {"l": (0, 30, 15, 33), "w": (3, 9, 5, 25), "z": (3, 9, 5, 0), "x": (None, None, None, None)}
     sent = latency.parse_ping(df.where("h = 'l'"), "r", sent=100).first()
@@ -113,7 +115,8 @@ def test_ping_reports(spark):
 
 
 def test_latency_summary(spark, rows):
-    df = spark.createDataFrame([("a", 1.9, True), ("a", 4.2, True), ("a", None, False), ("b", None, False)], "h string, v double, ok boolean")
+    probes = [("a", 1.9, True), ("a", 4.2, True), ("a", None, False), ("b", None, False)]
+    df = spark.createDataFrame(probes, "h string, v double, ok boolean")
     found = latency.latency_summary(df, "h", "v", F.col("ok"))
     assert rows(found) == [("a", 1, 4, 3, 33), ("b", None, None, None, 100)]
 
@@ -132,5 +135,6 @@ def test_html(spark, rows):
         ("b.rpm", "2 K", "2024-01-02", "https://host/pub/b.rpm"),
     ]
     everything = html.extract_links(pages, "base", "html")
-    assert rows(everything, "pos", "href", "name") == [(1, "a.rpm", "a.rpm"), (2, "b.rpm", "b.rpm"), (3, "/other", "elsewhere")]
+    found = [(1, "a.rpm", "a.rpm"), (2, "b.rpm", "b.rpm"), (3, "/other", "elsewhere")]
+    assert rows(everything, "pos", "href", "name") == found
     assert html.extract_links(pages, "base", "html", listing=True).count() == 2
