@@ -134,9 +134,10 @@ def write_bucketed(
 ) -> None:
     """Save as a table of ``n`` hash buckets, so that later joins and merges on the key need no shuffle.
 
-    Rows are first gathered by key with the rebalance hint, which lets adaptive execution cut an
-    oversized key into several tasks; a bucket may then hold several files.
+    Rows are first gathered by bucket with the rebalance hint, which lets adaptive execution cut an
+    oversized bucket into several tasks and so into several files, and gives a small one a single file.
     """
     keys = names(keys)
-    writer = df.hint("rebalance", *cols(keys)).write.mode(mode).bucketBy(n, *keys).sortBy(*keys)
+    gathered = bucketed(df, keys, n, "_bucket").hint("rebalance", F.col("_bucket")).drop("_bucket")
+    writer = gathered.write.mode(mode).bucketBy(n, *keys).sortBy(*keys)
     (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -58,9 +58,9 @@ def gzip_text(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.read_text(spark, path)
 
 
-@query("""
-    SELECT 'customer' AS "table", 1 AS section, 'DROP TABLE IF EXISTS customer; CREATE TABLE customer (c_custkey bigint,'
-        || ' c_name string, c_nationkey int, c_acctbal double, c_mktsegment string);' AS line
+@query(r"""
+    SELECT 'customer' AS "table", 1 AS section, 'DROP TABLE IF EXISTS customer; CREATE TABLE customer ('
+        || 'c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string);' AS line
     UNION ALL
     SELECT 'customer', 2, 'INSERT IGNORE INTO customer VALUES (' || c_custkey || ',''' || c_name || ''',' || c_nationkey
         || ',' || c_acctbal || ',''' || c_mktsegment || ''');' FROM customer
@@ -68,9 +68,10 @@ def gzip_text(spark: SparkSession, folder: str) -> DataFrame:
     SELECT 'documents', 1, 'DROP TABLE IF EXISTS documents; CREATE TABLE documents (doc_id bigint, text string);'
     UNION ALL
     SELECT 'documents', 2, 'INSERT IGNORE INTO documents VALUES (' || doc_id || ','''
-        || replace(replace(replace(replace(text, '\\', '\\\\'), '''', '\\'''), chr(10), '\\n'), chr(13), '\\r') || ''');'
+        || replace(replace(replace(replace(text, '\', '\\'), '''', '\'''), chr(10), '\n'), chr(13), '\r')
+        || ''');'
     FROM documents
-""".replace("\\\\", "\\"))
+""")
 def dump_sql(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "dump")
     dumped = {

@@ -119,6 +119,7 @@ def test_bucketed_table(spark, tmp_path):
     keyed.write_bucketed(df, "bucketed_rows", "id", 2, "overwrite", str(tmp_path / "t"))
     back = spark.table("bucketed_rows")
     assert back.count() == 1000
+    assert len(list((tmp_path / "t").glob("*.parquet"))) == 2
     plan = back.groupBy("id").agg(F.max("x"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     numbers = keyed.bucketed(df, "id", 2).groupBy("id").agg(F.count_distinct("bucket").alias("n"))
