@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators.columns import col, cols, names, ordering
-from tallyfold.operators.skew import broadcast_if_small
+from tallyfold.operators.skew import broadcast_if_small, splittable_join
 
 Names = str | Sequence[str]
 
@@ -58,11 +58,19 @@ def upsert(
     return base.join(changed, keys, "left_anti").unionByName(newest)
 
 
-def delete_keys(base: DataFrame, gone: DataFrame, keys: Names, broadcast_rows: int | None = None) -> DataFrame:
-    """Rows of ``base`` whose key is not listed in ``gone``; ``broadcast_rows`` as in ``upsert``."""
+def delete_keys(
+    base: DataFrame, gone: DataFrame, keys: Names, broadcast_rows: int | None = None, unique: bool = False
+) -> DataFrame:
+    """Rows of ``base`` whose key is not listed in ``gone``; ``broadcast_rows`` as in ``upsert``.
+
+    Any number of rows may share a key. If there is one row per key, say ``unique``: a bucketed ``base`` is
+    then joined where it lies.
+    """
     keys = names(keys)
     listed = broadcast_if_small(gone.select(*cols(keys)).distinct(), broadcast_rows)
-    return base.join(listed, keys, "left_anti")
+    if unique:
+        return base.join(listed, keys, "left_anti")
+    return splittable_join(base, listed, keys, "left_anti")
 
 
 def insert_if_absent(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.skew import splittable_join
+
 RUNNING, STOP, PARTIAL = "RUNNING", "STOP", "PARTIAL"
 
 
@@ -57,7 +59,7 @@ def failing_checks(checks: DataFrame, cluster: str = "cluster") -> DataFrame:
     The failures stay rows rather than one list per cluster, so a large cluster never sits in one task.
     """
     partial = rollup_status(checks, cluster).where(F.col("status") == PARTIAL).select(cluster)
-    return checks.where(~F.col("ok")).join(partial, cluster, "left_semi").select(
+    return splittable_join(checks.where(~F.col("ok")), partial, cluster, "left_semi").select(
         cluster, "host", "service", "expected", "observed", _message().alias("message")
     )
 

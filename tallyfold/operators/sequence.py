@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.physical import epoch_micros
 from tallyfold.operators.skew import heavy_keys
 
-SLICES_PER_SHARE = 64
+SLICES_PER_PART = 64
 
 
 def match_sequence(
@@ -20,7 +20,7 @@ def match_sequence(
     order: str,
     kind: str,
     pattern: Sequence[str],
-    share: float = 1 / 512,
+    most: int = 512,
     floor: int = 1_000_000,
 ) -> DataFrame:
     """Places where a key's consecutive events have the kinds of ``pattern``, in order of ``ts, order``.
@@ -29,9 +29,10 @@ def match_sequence(
     breaks ties in time, is unique within a key and never null. Events without a key
     or a time have no place.
 
-    A key with a large share of all events is cut into time slices that are matched in separate
-    tasks. Only the rows at the edges of its slices meet again, so matches across slices are
-    found too and no task sorts the whole key.
+    The keys with the most events, up to ``most`` keys of more than ``floor`` events each, are cut into time
+    slices that are matched in separate tasks. Only the rows at the edges of slices meet again, so matches
+    across slices are found too and no task sorts such a key whole. The events are read twice: once for
+    the keys and times alone, to find these keys.
     """
     steps = len(pattern) - 1
     slim = events.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(
@@ -42,7 +43,7 @@ def match_sequence(
         epoch_micros(F.col(ts), events.schema[ts].dataType).alias("us"),
     )
     slice_window = Window.partitionBy("key", "slice").orderBy("ts", "id")
-    inside = _with_slices(slim, share, floor).select(
+    inside = _with_slices(slim, most, floor).select(
         "*", *_look_ahead(slice_window, pattern), F.row_number().over(slice_window).alias("place")
     )
     at_edge = F.col("slice").isNotNull() & ((F.col("place") <= steps) | F.col("end_id").isNull())
@@ -75,12 +76,15 @@ def _look_ahead(window: Window, pattern: Sequence[str]) -> list[Column]:
     return [end_ts.alias("end_ts"), end_id.alias("end_id"), F.coalesce(fits, F.lit(False)).alias("hit")]
 
 
-def _with_slices(slim: DataFrame, share: float, floor: int) -> DataFrame:
+def _with_slices(slim: DataFrame, most: int, floor: int) -> DataFrame:
     """Number the time slice of every event of a heavy key; null for all other keys."""
-    heavy = heavy_keys(slim, "key", share, floor, [F.min("us").alias("first"), F.max("us").alias("last")])
-    # Many more slices than an even spread needs, so that bursts stay small as well.
-    width = (F.col("last") - F.col("first")) / (F.ceil("times") * SLICES_PER_SHARE)
-    slices = heavy.select("key", "first", F.greatest(width, F.lit(1.0)).alias("width"))
+    heavy = heavy_keys(slim, "key", most, floor, [F.min("us").alias("first"), F.max("us").alias("last")])
+    # How many fair parts a key makes up: a part is 1 / most of all events of heavy keys. Each is cut into
+    # many more slices than an even spread over time needs, so that bursts stay small as well.
+    all_heavy = F.sum("rows").over(Window.partitionBy())
+    parts = F.ceil(F.col("rows") / F.greatest(F.lit(floor), all_heavy / most))
+    width = F.greatest((F.col("last") - F.col("first")) / (parts * SLICES_PER_PART), F.lit(1.0))
+    slices = heavy.select("key", "first", width.alias("width"))
     number = F.floor((F.col("us") - F.col("first")) / F.col("width"))
-    # heavy_keys bounds the row count by 1 / share, hence the broadcast.
+    # heavy_keys gives at most ``most`` rows, hence the broadcast.
     return slim.join(F.broadcast(slices), "key", "left").withColumn("slice", number).drop("first", "width")

@@ -1,4 +1,4 @@
-"""Measured bounds: keys that hold too large a share of a table, and sides small enough to broadcast."""
+"""Hot keys and measured bounds: finding the keys that hold too much, joins that can be cut, checked broadcasts."""
 
 from __future__ import annotations
 
@@ -7,25 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.operators.columns import cols
+from tallyfold.operators.columns import cols, names
 
 
 def heavy_keys(
     df: DataFrame,
     keys: str | Sequence[str],
-    share: float = 1 / 512,
+    most: int = 512,
     floor: int = 1_000_000,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
-    """Keys with more than ``share`` of all rows, and more than ``floor`` rows.
+    """The keys with the most rows, where these are more than ``floor``, with their number ``rows``.
 
-    ``times`` tells by how much a key's rows exceed that limit. At most ``1 / share`` keys can pass,
-    whatever the size of the table: the result is safe to broadcast. ``extra`` adds aggregates per key.
+    There are never more than ``most`` of them, so the result is safe to broadcast whatever the size of the
+    table; and any other key holds less than one part in ``most`` of all rows. ``extra`` adds aggregates
+    per key. Only the columns named are read, and counts are combined before the shuffle.
     """
-    counts = df.groupBy(*cols(keys)).agg(F.count("*").alias("_rows"), *extra)
-    total = df.agg(F.count("*")).scalar()
-    times = F.col("_rows") / F.greatest(F.lit(floor), total * share)
-    return counts.withColumn("times", times).where(F.col("times") > 1).drop("_rows")
+    counts = df.groupBy(*cols(keys)).agg(F.count("*").alias("rows"), *extra)
+    return counts.where(F.col("rows") > floor).orderBy(F.desc("rows"), *cols(keys)).limit(most)
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None) -> DataFrame:
@@ -37,3 +36,15 @@ def broadcast_if_small(df: DataFrame, rows: int | None) -> DataFrame:
     if rows is not None and df.limit(rows + 1).count() <= rows:
         return F.broadcast(df)
     return df
+
+
+def splittable_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str) -> DataFrame:
+    """A left, semi or anti join whose left side may be hot on ``keys`` and whose right side was aggregated by them.
+
+    Adaptive execution cuts a hot partition only if both sides are shuffled for the join itself, but Spark
+    would reuse the aggregate's partitioning on the right. A second join column, always zero, has the right side,
+    which is the small one, shuffled once more.
+    """
+    slot = F.pmod(F.hash(*cols(keys)), F.lit(1))
+    joined = left.withColumn("_slot", slot).join(right.withColumn("_slot", slot), [*names(keys), "_slot"], how)
+    return joined.drop("_slot")

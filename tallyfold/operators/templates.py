@@ -58,10 +58,11 @@ def _fill_from_table(templates: DataFrame, params: DataFrame, text: str, keys: l
         F.col("col.plain").alias("_plain"),
         F.col("col.key").alias("_key"),
     )
-    # The piece without a mark has no key to join on: the slot spreads those pieces over all tasks.
+    # The piece without a mark has no key to join on: the slot spreads those pieces over all tasks. It is
+    # zero for all others, and computed on the side of the values for the reason given in splittable_join.
     exploded = exploded.withColumn("_slot", F.when(F.col("_key").isNull(), F.xxhash64(*cols(keys))).otherwise(F.lit(0)))
-    slot = F.lit(0).cast("bigint").alias("_slot")
-    values = params.select(F.col("key").alias("_key"), F.col("value").alias("_value"), slot)
+    slot = F.pmod(F.hash("key"), F.lit(1)).cast("bigint")
+    values = params.select(F.col("key").alias("_key"), F.col("value").alias("_value"), slot.alias("_slot"))
     shown = F.coalesce("_value", F.concat(F.lit("${"), "_key", F.lit("}")), F.lit(""))
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat("_plain", shown).alias("piece"))))
     joined = F.array_join(F.transform(ordered, lambda p: p["piece"]), "")

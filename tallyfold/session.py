@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -21,7 +22,6 @@ def local_session(app: str = "tallyfold", cores: str | int = "*", partitions: in
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config(CHECKPOINT_DIR, tempfile.mkdtemp(prefix="tallyfold-"))
         .getOrCreate()
     )
 
@@ -45,6 +45,11 @@ def scale_settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
     }
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="tallyfold-")
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder named by ``spark.checkpoint.dir``.
 
@@ -54,6 +59,5 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="tallyfold-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -48,21 +48,22 @@ SCHEMA = "k string, ts timestamp_ntz, id bigint, kind string"
 def test_batch_equals_brute_force(spark, pattern, floor):
     events = make_events(len(pattern) + floor)
     df = spark.createDataFrame(events, SCHEMA)
-    found = match_sequence(df, "k", "ts", "id", "kind", list(pattern), share=0.05, floor=floor)
+    found = match_sequence(df, "k", "ts", "id", "kind", list(pattern), most=20, floor=floor)
     assert sorted(tuple(r) for r in found.collect()) == brute_force(events, pattern)
 
 
 def test_one_moment_for_all_events(spark):
     events = [("k", START, i, "x") for i in range(50)]
-    found = match_sequence(spark.createDataFrame(events, SCHEMA), "k", "ts", "id", "kind", ["x", "x"], 0.05, 1)
+    found = match_sequence(spark.createDataFrame(events, SCHEMA), "k", "ts", "id", "kind", ["x", "x"], 20, 1)
     assert found.count() == 49
 
 
 def test_heavy_keys_are_few(spark, rows):
     df = spark.range(10_000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("k"))
-    found = heavy_keys(df, "k", share=1 / 10, floor=10)
-    assert rows(found) == [(-1, 4.0)]
-    assert heavy_keys(df, "k", share=1 / 10, floor=4000).count() == 0
+    found = heavy_keys(df, "k", floor=10)
+    assert rows(found) == [(-1, 4000)]
+    assert heavy_keys(df, "k", floor=4000).count() == 0
+    assert heavy_keys(df, "k", most=3, floor=0).count() == 3
 
 
 @pytest.mark.parametrize(("pattern", "parts"), [("x", 1), ("xyx", 4)])
