@@ -20,7 +20,7 @@ def match_sequence(
     order: str,
     kind: str,
     pattern: Sequence[str],
-    most: int = 512,
+    most: int = 4096,
     floor: int = 1_000_000,
 ) -> DataFrame:
     """Places where a key's consecutive events have the kinds of ``pattern``, in order of ``ts, order``.
@@ -31,8 +31,9 @@ def match_sequence(
 
     The keys with the most events, up to ``most`` keys of more than ``floor`` events each, are cut into time
     slices that are matched in separate tasks. Only the rows at the edges of slices meet again, so matches
-    across slices are found too and no task sorts such a key whole. The events are read twice: once for
-    the keys and times alone, to find these keys.
+    across slices are found too and no task sorts such a key whole; only events of one key at one and the
+    same moment stay together. The events are read twice: once for the keys and times alone, to find the
+    heavy keys.
     """
     steps = len(pattern) - 1
     slim = events.where(F.col(ts).isNotNull() & F.col(key).isNotNull()).select(

@@ -13,7 +13,7 @@ from tallyfold.operators.columns import cols, names
 def heavy_keys(
     df: DataFrame,
     keys: str | Sequence[str],
-    most: int = 512,
+    most: int = 4096,
     floor: int = 1_000_000,
     extra: Sequence[Column] = (),
 ) -> DataFrame:

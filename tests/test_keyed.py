@@ -37,14 +37,16 @@ def test_counted_keys_are_broadcast_only_within_the_bound(spark, rows):
     early, late = spark.range(0, 10), spark.range(5, 10)
     changes = early.selectExpr("id", "1 AS x", "id AS v").union(late.selectExpr("id", "2", "100"))
     plans = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     for limit in (9, 10):
         after = keyed.upsert(base, changes, "id", "v", broadcast_rows=limit)
         assert rows(after.groupBy("x").count()) == [(0, 90), (1, 5), (2, 5)]
         gone = keyed.delete_keys(base, changes, "id", broadcast_rows=limit)
         assert gone.count() == 90
         assert keyed.insert_if_absent(gone, changes, "id", "v", broadcast_rows=limit).count() == 100
-        plans[limit] = gone._jdf.queryExecution().logical().toString()
-    assert "strategy=broadcast" in plans[10] and "strategy=broadcast" not in plans[9]
+        plans[limit] = gone._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans[10] and "BroadcastHashJoin" not in plans[9]
 
 
 def test_replace_if_not_null(spark, rows):
