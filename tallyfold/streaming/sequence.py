@@ -61,8 +61,8 @@ class SliceMatcher(StatefulProcessor):
     be part of a match that spans slices.
     """
 
-    def __init__(self, pattern: Sequence[str], width_ms: int, key_type: T.DataType) -> None:
-        self.pattern, self.width_ms = list(pattern), width_ms
+    def __init__(self, pattern: Sequence[str], width_ms: int, key_type: T.DataType, riding: int) -> None:
+        self.pattern, self.width_ms, self.riding = list(pattern), width_ms, riding
         self.stored = T.StructType(
             [T.StructField("key", key_type), *_longs("us", "id"), T.StructField("kind", T.StringType())]
         )
@@ -94,7 +94,9 @@ class SliceMatcher(StatefulProcessor):
         for name in ("us", "id"):
             line[f"end_{name}"] = line[name].shift(-steps).where(line["settled"]).astype("Int64")
         edge = (place < steps) | ~line["settled"]
-        line["part"] = edge.map({True: _EDGES, False: int(key[1])})
+        line["edge"] = edge
+        few = line["hit"].groupby(line["key"], sort=False).transform("sum") <= self.riding
+        line["part"] = (edge | few).map({True: _EDGES, False: int(key[1])})
         yield line[edge | line["hit"]]
 
     def close(self) -> None:
@@ -102,7 +104,7 @@ class SliceMatcher(StatefulProcessor):
 
 
 class EdgeMatcher(StatefulProcessor):
-    """Joins up the edges of a key's slices; settled matches come as groups of their own and pass through.
+    """Joins up the edges of a key's slices; settled matches pass through, many of them as a group of their own.
 
     A slice is closed once for all its keys, and earlier slices no later than it, so the edges of one batch
     follow those seen before. ``tail`` holds the last of them, from which a later match may start: never
@@ -123,8 +125,8 @@ class EdgeMatcher(StatefulProcessor):
             done = batch[batch["hit"]]
             if not done.empty:
                 yield self._found(key[0], done["us"], done["end_us"], done["id"], done["end_id"])
-            if key[1] == _EDGES:
-                edges.append(batch[[*_EVENT, "settled"]])
+            if batch["edge"].any():
+                edges.append(batch.loc[batch["edge"], [*_EVENT, "settled"]])
         if not edges:
             return
         steps = len(self.pattern) - 1
@@ -162,6 +164,7 @@ def match_sequence_stream(
     delay: str,
     slice_seconds: int = 1,
     groups: int = 64,
+    riding: int = 256,
 ) -> DataFrame:
     """The batch matcher's rows for a stream: ``key, start_ts, end_ts, start_id, end_id``.
 
@@ -169,7 +172,8 @@ def match_sequence_stream(
     once the watermark has passed the time slice of its last event. Events first meet by time slice and
     by one of ``groups`` groups of keys: with slices much shorter than a batch, the events of one busy key
     are spread over tasks, and a state holds no more than one slice. Only what is left at the slices' edges
-    is then brought together by key. Start the query under ``state_settings``.
+    is then brought together by key, along with up to ``riding`` settled matches of a key and slice; more of
+    them go on as a group of their own. Start the query under ``state_settings``.
     """
     width_ms = slice_seconds * 1000
     known = F.col(ts).isNotNull() & F.col(key).isNotNull()
@@ -183,8 +187,8 @@ def match_sequence_stream(
         F.col(kind).alias("kind"),
     )
     key_type = slim.schema["key"].dataType
-    flags = [T.StructField(n, T.BooleanType()) for n in ("settled", "hit")]
-    matcher = SliceMatcher(pattern, width_ms, key_type)
+    flags = [T.StructField(n, T.BooleanType()) for n in ("settled", "hit", "edge")]
+    matcher = SliceMatcher(pattern, width_ms, key_type, riding)
     in_slices = slim.groupBy("group", "slice").transformWithStateInPandas(
         statefulProcessor=matcher,
         outputStructType=T.StructType([*matcher.stored, *flags, *_longs("end_us", "end_id", "part")]),

@@ -66,8 +66,8 @@ def test_heavy_keys_are_few(spark, rows):
     assert heavy_keys(df, "k", most=3, floor=0).count() == 3
 
 
-@pytest.mark.parametrize(("pattern", "parts"), [("x", 1), ("xyx", 4)])
-def test_stream_equals_batch(spark, pattern, parts):
+@pytest.mark.parametrize(("pattern", "parts", "riding"), [("x", 1, 0), ("xyx", 3, 0), ("xyx", 2, 256)])
+def test_stream_equals_batch(spark, pattern, parts, riding):
     """Several batches, each out of order within the watermark delay."""
     events = sorted(make_events(7, n=400), key=lambda e: e[1])
     events = [e for e in events if e[0] != "c"]
@@ -82,7 +82,7 @@ def test_stream_equals_batch(spark, pattern, parts):
         df = spark.createDataFrame(shuffled, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        found = match_sequence_stream(stream, "k", "ts", "id", "kind", list(pattern), "1 second", 1800, groups=2)
+        found = match_sequence_stream(stream, "k", "ts", "id", "kind", list(pattern), "1 second", 1800, 2, riding)
         with state_settings(spark, 2):
             files.drain(found, out, checkpoint)
     back = spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
