@@ -32,3 +32,11 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = pack(table(spark, folder, "documents"), vocabulary(BYTES))
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm.simhash import near_duplicates
+
+    rows = near_duplicates(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
