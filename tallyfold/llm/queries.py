@@ -40,3 +40,19 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = near_duplicates(table(spark, folder, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op6_class_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm import toxicity
+
+    docs = table(spark, folder, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op8_language_bitmasks(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm import language
+
+    docs = table(spark, folder, "documents")
+    return language.predict_language(docs, language.train(docs))
