@@ -56,3 +56,58 @@ def op8_language_bitmasks(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return language.predict_language(docs, language.train(docs))
+
+
+@query
+def op3_winnowed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm.lines import without_repeated_runs
+
+    rows = without_repeated_runs(table(spark, folder, "documents"))
+    return rows.select("doc_id", "text", F.col("removed").cast("long").alias("n_removed"))
+
+
+# The same rule on the texts themselves: runs of lines are compared as text.
+LINES_SQL = r"""
+cut AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM {docs}),
+numbered AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS content FROM cut),
+counted AS (SELECT *, len(regexp_extract_all(content, '[^\x20\x09-\x0D]+')) AS n FROM numbered),
+placed AS (
+  SELECT doc_id, line, content, n, sum(n) OVER (PARTITION BY doc_id ORDER BY line)::BIGINT AS ends FROM counted WHERE n > 0
+),
+spanned AS (
+  SELECT doc_id, line, ends, ends - n AS starts,
+    list(content) OVER ahead AS fore, max(line) OVER ahead AS last, max(ends) OVER ahead AS top,
+    list(content) OVER behind AS back, min(line) OVER behind AS first, min(ends - n) OVER behind AS bottom
+  FROM placed
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY ends - n RANGE BETWEEN 0 PRECEDING AND 49 FOLLOWING),
+         behind AS (PARTITION BY doc_id ORDER BY ends RANGE BETWEEN 49 PRECEDING AND 0 FOLLOWING)
+),
+runs AS (
+  SELECT doc_id, line AS first, last, fore AS run FROM spanned WHERE top - starts >= 50
+  UNION
+  SELECT doc_id, first, line AS last, back AS run FROM spanned WHERE ends - bottom >= 50
+),
+ranked AS (
+  SELECT *, first_value(doc_id) OVER early AS doc0, first_value(last) OVER early AS last0
+  FROM runs WINDOW early AS (PARTITION BY run ORDER BY doc_id, first, last)
+),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM ranked WHERE doc_id <> doc0 OR first > last0
+),
+left_over AS (
+  SELECT m.doc_id, string_agg(m.content, chr(10) ORDER BY m.line) FILTER (WHERE g.line IS NULL) AS text,
+    count(g.line) AS n_removed
+  FROM numbered m LEFT JOIN gone g ON m.doc_id = g.doc_id AND m.line = g.line GROUP BY m.doc_id
+)
+"""
+ORACLES["op3_winnowed_lines"] = f"""
+WITH {LINES_SQL.format(docs="documents")}
+SELECT doc_id, coalesce(text, '') AS text, n_removed FROM left_over
+"""
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
