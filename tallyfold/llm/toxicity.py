@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import broadcast_within, remainder, runs, small_batches, texts_of
 
-SLOTS = 21  # bits: sequences are told apart up to 2**SLOTS slots
-BLOCK = 15  # bits: slots in one block of a table on its way
+SLOTS = 20  # bits: sequences are told apart up to 2**SLOTS slots
+BLOCK = 14  # bits: slots in one block of a table on its way
 SPACE = 32
 # Tables by number: counts of four letters by class (ordinary, toxic), the slot of each one's first three,
 # the slot of the first two of each trigram, and a bit map of the letters seen before a trigram.
@@ -123,8 +123,10 @@ def count_tables(rows: DataFrame) -> list[np.ndarray]:
     counted = rows.select("text", F.col("label").cast("int")).mapInArrow(count, schema)
     merged = counted.repartition("kind", "shard").mapInArrow(merge, schema)
     tables = empty()
-    for r in merged.collect():  # as many blocks as the tables have, whatever the input
-        tables[r.kind][r.shard << BLOCK : (r.shard + 1) << BLOCK] = np.frombuffer(bytes(r.data), np.int64)
+    for batch in merged.toArrow().to_batches():  # as many blocks as the tables have, whatever the input
+        for kind, shard, data in zip(*batch.columns, strict=True):
+            at = shard.as_py() << BLOCK
+            tables[kind.as_py()][at : at + (1 << BLOCK)] = np.frombuffer(data.as_buffer(), np.int64)
     return tables
 
 
@@ -216,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             yield pa.RecordBatch.from_arrays([found, batch.column(1)], names=["x", "y"])
 
     seen = joined.where(chosen).select("text", "label").mapInArrow(judge, "x double, y int").toPandas()
+    shared.destroy()
     if seen.y.nunique() == 2:
         model.slope, model.shift = calibrate(seen.x.to_numpy(float), seen.y.to_numpy(float))
     return model
