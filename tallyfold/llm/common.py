@@ -69,7 +69,7 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def runs(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of at most about ``most`` characters in all, at least one text each."""
     start = size = 0
     for i, text in enumerate(texts):

@@ -39,7 +39,7 @@ class Encoder:
     vocabulary between them, at which the library cuts before all else.
     """
 
-    def __init__(self, path: str, words: bool = False, most: int = 600_000):
+    def __init__(self, path: str, words: bool = False, most: int = 250_000):
         self.tokenizer = load_tokenizer(path)
         self.words, self.most = words, most
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())

@@ -98,7 +98,7 @@ def count_tables(rows: DataFrame) -> list[np.ndarray]:
         tables = empty()
         for batch in batches:
             texts, labels = texts_of(batch.column(0)), batch.column(1).to_numpy()
-            for a, b in runs(texts):
+            for a, b in runs(texts, 1 << 19):
                 seen = Letters.of(texts[a:b])
                 toxic = np.repeat(labels[a:b], np.diff(seen.edges)) == 1
                 tables[0] += np.bincount(seen.four[~toxic], minlength=1 << SLOTS)
@@ -166,7 +166,7 @@ class KneserNey:
     def compare(self, texts: list[str]) -> np.ndarray:
         """Per text: (log P(text | toxic) - log P(text | ordinary)) / sqrt(letters); 0 without letters."""
         out = np.zeros(len(texts))
-        for a, b in runs(texts, 1 << 20):
+        for a, b in runs(texts):
             seen = Letters.of(texts[a:b])
             back = self.shared[seen.three] + self.rest[seen.short]
             toxic = self.own[1][seen.four] + self.left[1][seen.context] * back
