@@ -111,3 +111,24 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op2_repair_grammar(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm import repair
+
+    files = repair.write_blocks(table(spark, folder, "documents"), vocabulary(WORDS))
+    return repair.read_documents(files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op7_tree_concatenation(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm import bpe
+
+    rows = bpe.decode(bpe.encode(table(spark, folder, "documents"), vocabulary(BYTES)), vocabulary(BYTES))
+    return rows.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"),
+    )
