@@ -132,3 +132,26 @@ def op7_tree_concatenation(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_k_means_tree(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm.neighbours import nearest
+
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op9_consistent_parsing(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm.parsing import fingerprint_documents
+
+    rows = fingerprint_documents(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
