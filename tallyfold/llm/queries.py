@@ -155,3 +155,11 @@ def op9_consistent_parsing(spark: SparkSession, folder: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query
+def op1_bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm import quality
+
+    docs = table(spark, folder, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, folder, "labels")))
