@@ -128,7 +128,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97, sample: int = 20_000, trials: int = 128, leaf: int = 128, block: int = 4096
+    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95, sample: int = 20_000, trials: int = 128, leaf: int = 512, block: int = 4096
 ) -> DataFrame:
     """The ``k`` nearest other vectors of each query by Euclidean distance: ``query_id, rank, vec_id, score``.
 
