@@ -147,7 +147,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, words: bool =
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer, words).encode, task_index()
+        encode, part = encoder(tokenizer, words, 600_000).encode, task_index()
         end = np.array([end_id], "<u4").tobytes()
         keys: list = []
         held: list[bytes] = []

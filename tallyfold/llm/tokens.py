@@ -44,9 +44,11 @@ class Encoder:
         self.words, self.most = words, most
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items())
         self.marks = [t for _, t in special]
+        self.first = self.marks[0][:1] if len({m[:1] for m in self.marks}) == 1 else ""  # in any text, if marks differ
         self.mark_id, self.mark = special[-1] if special else (None, None)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.signs = dict(zip(("", ",", "."), self._whole(["", ",", "."]), strict=True))
 
     def _batch(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -88,6 +90,53 @@ class Encoder:
             return piece[1:]
         return piece if self.words else " " + piece
 
+    def _core(self, piece: str) -> tuple[str, str]:
+        """The piece in the form it shares with others, and a comma or full stop that ends it.
+
+        The scanner splits such a sign off a letter. A words tokenizer lowers letters one by one, as Python does but for
+        the capital sigma. What may become a special token stays as it is.
+        """
+        if self.words and not piece.islower() and "\u03a3" not in piece and "<" not in piece:
+            lowered = piece.lower()
+            piece = piece if lowered == piece else lowered
+        return (piece[:-1], piece[-1]) if piece[-1:] in (",", ".") and piece[-2:-1].isalpha() else (piece, "")
+
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """The ids of pieces that are not in the younger store."""
+        older, known = self.older, self.known
+        fresh: dict[str, bytes] = {}
+        new, derived = [], []
+        for p in wanted:
+            ids = older.get(p)
+            if ids is not None:
+                fresh[p] = ids
+            elif (form := self._core(p))[0] is p:
+                new.append(p)
+            else:
+                derived.append((p, *form))
+        cores: dict[str, bytes] = {}
+        for _, core, _ in derived:
+            if core not in cores and core not in wanted:
+                ids = known.get(core) or older.get(core)
+                if ids is None:
+                    new.append(core)
+                cores[core] = ids or b""
+        first = self.first
+        plain = [c for c in new if not (first in c and any(m in c for m in self.marks))]
+        found = dict(zip(plain, self._new([self._text(c) for c in plain]), strict=True))
+        if len(plain) < len(new):
+            marked = [c for c in new if c not in found]
+            found.update(zip(marked, self._whole([self._text(c) for c in marked]), strict=True))
+        fresh.update(found)
+        for p, core, sign in derived:
+            ids = fresh.get(core)
+            if ids is None:
+                ids = cores.get(core)
+            if ids is None:  # a wanted core that is derived itself
+                ids = self._whole([self._text(core)])[0]
+            fresh[p] = ids + self.signs[sign]
+        return fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text."""
         cut = [self.pieces(text) for text in texts]
@@ -98,14 +147,7 @@ class Encoder:
             wanted: set[str] = set()
             for i in holes:
                 wanted.update([p for p, ids in zip(cut[i], found[i], strict=True) if ids is None])
-            older = self.older
-            fresh = {p: older[p] for p in wanted if p in older}
-            rest = [p for p in wanted if p not in fresh]
-            plain = [p for p in rest if not any(m in p for m in self.marks)]
-            fresh.update(zip(plain, self._new([self._text(p) for p in plain]), strict=True))
-            if len(plain) < len(rest):
-                marked = [p for p in rest if p not in fresh]
-                fresh.update(zip(marked, self._whole([self._text(p) for p in marked]), strict=True))
+            fresh = self._learn(wanted)
             for i in holes:
                 found[i] = [fresh[p] if ids is None else ids for p, ids in zip(cut[i], found[i], strict=True)]
             if len(self.known) > self.most:
@@ -117,8 +159,8 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, words: bool = False) -> Encoder:
+def encoder(path: str, words: bool = False, most: int = 250_000) -> Encoder:
     """This worker's encoder: one for all tasks that it runs."""
     if (path, words) not in _ENCODERS:
-        _ENCODERS[path, words] = Encoder(path, words)
+        _ENCODERS[path, words] = Encoder(path, words, most)
     return _ENCODERS[path, words]
