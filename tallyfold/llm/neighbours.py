@@ -128,7 +128,7 @@ FOUND = "query_id long, vec_id long, score double"
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95, sample: int = 20_000, trials: int = 128, leaf: int = 512, block: int = 4096
+    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95, sample: int = 20_000, trials: int = 128, leaf: int = 256, block: int = 4096
 ) -> DataFrame:
     """The ``k`` nearest other vectors of each query by Euclidean distance: ``query_id, rank, vec_id, score``.
 
@@ -139,7 +139,8 @@ def nearest(
 
     The tree grows on about ``sample`` vectors, chosen by hash, down to leaves of some ``leaf`` vectors of the table,
     or a few of the sample where that is larger. ``trials`` vectors, chosen by hash, are compared with all vectors
-    to set the number of leaves to visit. Leaves of more than ``block`` vectors are split among tasks.
+    to set the number of leaves to visit. Neighbouring leaves of up to ``block`` vectors are searched in one task, larger
+    ones are split.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -171,49 +172,64 @@ def nearest(
     trial = F.pmod(F.xxhash64("vec_id", F.lit("trial")), F.lit(1 << 30)) < int(trial_share * (1 << 30)) + 1
     tried = kept.where(trial).collect()
     visits = _calibrate(index, tree, [r.vec_id for r in tried], np.array([r.vector for r in tried], float), k, recall) if tried else tree.leaves
-    parts = {n: -(-c // block) for n, c in sizes.items()}
+    # Neighbouring leaves are searched together, up to about ``block`` vectors; a larger leaf is split in parts.
+    shards, parts, filled = {}, {}, block
+    for n in range(tree.leaves):
+        if filled + sizes.get(n, 0) > block:
+            parts[len(parts)], filled = 1, 0
+        shards[n], filled = len(parts) - 1, filled + sizes.get(n, 0)
+        parts[shards[n]] = max(1, -(-sizes.get(n, 0) // block))
     queries = rows.where(is_query)
-    crowd = max(1, -(-queries.count() * visits // (tree.leaves * block)))
+    crowd = max(1, -(-queries.count() * min(visits, len(parts)) // (len(parts) * block)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             vectors = matrix(batch.column(1))
             for i, query in enumerate(batch.column(0).to_pylist()):
-                seen = rows_seen = 0
+                seen, rows_seen, leaves = 0, 0, {}
                 for n in shared.value.bins(vectors[i]):
-                    for part in range(parts.get(n, 0)):
-                        for column, value in zip(out, (n, part, query, i), strict=True):
-                            column.append(value)
+                    leaves.setdefault(shards[n], []).append(n)
                     seen, rows_seen = seen + 1, rows_seen + sizes.get(n, 0)
                     if seen >= visits and rows_seen > k:
                         break
+                for shard, own in leaves.items():
+                    for part in range(parts[shard]):
+                        for column, value in zip(out, (shard, part, query, own, i), strict=True):
+                            column.append(value)
             at = pa.array(out.pop(), pa.int64())
+            own = pa.array(out.pop(), pa.list_(pa.int64()))
             groups = pa.array(np.array(out[2], np.int64) // 100 % crowd)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in out), groups, batch.column(1).take(at)], names=["leaf", "part", "query_id", "crowd", "vector"]
+                [*(pa.array(c, pa.int64()) for c in out), groups, own, batch.column(1).take(at)],
+                names=["shard", "part", "query_id", "crowd", "leaves", "vector"],
             )
 
-    asked = queries.mapInArrow(visit, "leaf long, part long, query_id long, crowd long, vector array<double>")
-    spread = F.create_map(*(F.lit(x) for n, p in parts.items() if p > 1 for x in (n, p))) if any(p > 1 for p in parts.values()) else None
-    number = F.lit(1) if spread is None else F.coalesce(spread[F.col("leaf")], F.lit(1))
-    held = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), number)).withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(crowd - 1).cast("long"))))
+    asked = queries.mapInArrow(visit, "shard long, part long, query_id long, crowd long, leaves array<long>, vector array<double>")
+    # A row for each leaf of the tree.
+    where = spark.createDataFrame([(n, s, parts[s]) for n, s in shards.items()], "leaf long, shard long, parts long")
+    held = index.join(F.broadcast(where), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    held = held.withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(crowd - 1).cast("long"))))
 
     def search(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if len(rows) and len(queries):
+            rows = rows.sort_by("leaf")
             ids, vectors = rows.column("vec_id").to_numpy(), matrix(rows.column("vector").combine_chunks())
+            leaves, starts = np.unique(rows.column("leaf").to_numpy(), return_index=True)
+            spans = dict(zip(leaves.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True), strict=True))
             names, asked = queries.column("query_id").to_numpy(), matrix(queries.column("vector").combine_chunks())
-            for i in range(0, len(names), 256):
-                for q, scores in zip(names[i : i + 256], exact(asked[i : i + 256], vectors), strict=True):
-                    others = np.flatnonzero(ids != q)
-                    at = others[best(ids[others], scores[others], k)]
-                    for column, value in zip(out, (np.full(len(at), q), ids[at], scores[at]), strict=True):
-                        column.append(value)
+            for q, vector, own in zip(names, asked, queries.column("leaves").to_pylist(), strict=True):
+                at = np.concatenate([np.arange(*spans[n]) for n in own if n in spans] or [np.zeros(0, int)])
+                at = at[ids[at] != q]
+                scores = exact(vector[None], vectors[at])[0]
+                near = best(ids[at], scores, k)
+                for column, value in zip(out, (np.full(len(near), q), ids[at[near]], scores[near]), strict=True):
+                    column.append(value)
         kinds = (np.int64, np.int64, float)
         return pa.table({n.split()[0]: np.concatenate([np.zeros(0, t), *c]) for n, t, c in zip(FOUND.split(", "), kinds, out, strict=True)})
 
-    keys = ("leaf", "part", "crowd")
+    keys = ("shard", "part", "crowd")
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, FOUND)
     return top(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

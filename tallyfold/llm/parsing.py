@@ -79,15 +79,19 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     starts = np.zeros(len(symbols), bool)
     starts[np.cumsum([0, *(len(texts[i]) for i in filled[:-1])])] = True
     keys = []
+    sizes = np.full(len(filled), 2)
     for level in range(1, LEVELS + 1):
+        before = sizes
         symbols, starts = parse(symbols, starts)
+        owner = np.cumsum(starts) - 1
+        sizes = np.bincount(owner)
         if level > 1:
-            owner = (np.cumsum(starts) - 1).astype(np.uint64)
-            hashed = _mix(symbols + np.uint64(level))
-            keys.append(owner << np.uint64(38) | (hashed >> np.uint64(58)) << np.uint64(32) | hashed & np.uint64(0xFFFFFFFF))
-        if len(symbols) == len(filled):
-            break
-    names = np.sort(np.concatenate(keys)) if keys else _single(symbols)
+            # a text that is one phrase already gives no more names, whatever the texts beside it do
+            go_on = np.ones(len(owner), bool) if level == 2 else before[owner] > 1
+            hashed = _mix(symbols[go_on] + np.uint64(level))
+            own = owner[go_on].astype(np.uint64)
+            keys.append(own << np.uint64(38) | (hashed >> np.uint64(58)) << np.uint64(32) | hashed & np.uint64(0xFFFFFFFF))
+    names = np.sort(np.concatenate(keys))
     first = np.concatenate(([True], np.diff(names >> np.uint64(32)) > 0))
     chosen = names[first]
     rows, bins = (chosen >> np.uint64(38)).astype(np.int64), (chosen >> np.uint64(32)).astype(np.int64) % BINS
@@ -95,12 +99,6 @@ def fingerprints(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _single(symbols: np.ndarray) -> np.ndarray:
-    """Keys of texts that are one phrase on the first level already."""
-    hashed = _mix(symbols + np.uint64(2))
-    return np.sort(np.arange(len(symbols), dtype=np.uint64) << np.uint64(38) | (hashed >> np.uint64(58)) << np.uint64(32) | hashed & np.uint64(0xFFFFFFFF))
-
-
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of phrase names in common: equal bins over bins filled on either side; 1 if both are empty."""
     either = ((a > 0) | (b > 0)).sum(1)
