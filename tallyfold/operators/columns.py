@@ -22,6 +22,5 @@ def cols(value: str | Sequence[str]) -> list[Column]:
 
 
 def ordering(version: str | Sequence[str]) -> Column:
-    """One comparable column out of one or more version columns."""
-    parts = cols(version)
-    return parts[0] if len(parts) == 1 else F.struct(*parts)
+    """One comparable column out of one or more version columns; it is never null, and a null version is the oldest."""
+    return F.struct(*(part for v in cols(version) for part in (v.isNotNull(), v)))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns: an anchor with an address, and the three cells of a listing row.
-ANCHOR = r'<a [^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-LINK_CELL = r'<td class="?link"?[^>]*>\s*' + ANCHOR
-SIZE_CELL = r'<td class="?size"?[^>]*>([^<]*)</td>'
-DATE_CELL = r'<td class="?date"?[^>]*>([^<]*)</td>'
+# Names in any case, quotes of either kind or none, texts over several lines.
+ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*|(?<=[=\s])[^\s>"']+)[^>]*>(.*?)</a>"""
+LINK_CELL = r"""(?is)<td[^>]*?\bclass\s*=\s*["']?link\b[^>]*>\s*""" + ANCHOR
+SIZE_CELL = r"""(?is)<td[^>]*?\bclass\s*=\s*["']?size\b[^>]*>([^<]*)</td>"""
+DATE_CELL = r"""(?is)<td[^>]*?\bclass\s*=\s*["']?date\b[^>]*>([^<]*)</td>"""
+ROW = r"(?is)<tr\b.*?(?=<tr\b|</table|$)"
 TAG = r"<[^>]*>"
 PARENT = "parent"
 
@@ -38,16 +40,19 @@ def extract_links(pages: DataFrame, base: str, html: str, listing: bool = False)
 
 
 def extract_listing(pages: DataFrame, base: str, html: str) -> DataFrame:
-    """One row ``name, size, date, url`` per entry of a directory listing; cells are matched by position."""
+    """One row ``name, size, date, url`` per entry of a directory listing.
+
+    Cells belong to the table row that they stand in; one that a row lacks is null.
+    """
     keep = [c for c in pages.columns if c != html]
+    rows = pages.select(*keep, F.explode(F.regexp_extract_all(F.col(html), F.lit(ROW), 0)).alias("_row"))
 
     def found(pattern: str, group: int) -> Column:
-        return F.regexp_extract_all(F.col(html), F.lit(pattern), group)
+        return F.get(F.regexp_extract_all("_row", F.lit(pattern), group), F.lit(0))
 
-    cells = F.arrays_zip(
-        found(LINK_CELL, 2).alias("name"), found(SIZE_CELL, 1).alias("size"), found(DATE_CELL, 1).alias("date")
+    rows = rows.select(
+        *keep, found(LINK_CELL, 2).alias("name"), found(SIZE_CELL, 1).alias("size"), found(DATE_CELL, 1).alias("date")
     )
-    rows = pages.select(*keep, F.inline(cells))
     rows = rows.withColumn("name", F.regexp_replace("name", TAG, "")).where(
         F.col("name").isNotNull() & ~F.contains(F.lower("name"), F.lit(PARENT))
     )

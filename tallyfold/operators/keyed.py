@@ -2,7 +2,8 @@
 
 Every "newest wins" here is a ``max_by`` aggregate, not a window: each map task first reduces a key
 to one row, so a key that holds a third of the table still reaches its reducer as a handful of rows.
-A version must be unique within its key; give several version columns to break ties.
+A version must be unique within its key; give several version columns to break ties. A null version is older than
+any other, so a row is never lost for want of one.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def scan_cells(cells: DataFrame, in_order: bool = True) -> DataFrame:
 def scan_wide(cells: DataFrame, families: Mapping[str, Sequence[str]]) -> DataFrame:
     """The newest version of the named cells, one row per row key, columns ``family:qualifier``."""
     columns = [
-        F.max_by("value", F.when((F.col("family") == family) & (F.col("qualifier") == name), F.col("version"))).alias(
+        F.max_by("value", F.when((F.col("family") == family) & (F.col("qualifier") == name), ordering("version"))).alias(
             f"{family}:{name}"
         )
         for family, qualifiers in families.items()

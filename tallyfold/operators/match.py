@@ -32,17 +32,23 @@ def match_processes(
 def check_roster(expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Every roster row with the number of processes seen and whether that is the expected number.
 
+    An unknown expectation (null) is never met, so ``ok`` is never null.
+
     ``expected`` has ``host, service, expected`` and any other columns; ``observed`` one row per process.
     Processes are counted per (host, service) before they meet the roster.
     """
     counts = observed.groupBy("host", "service").agg(F.count("*").alias("observed"))
     joined = expected.join(counts, ["host", "service"], "left")
     seen = F.coalesce("observed", F.lit(0).cast("bigint"))
-    return joined.withColumn("observed", seen).withColumn("ok", F.col("observed") == F.col("expected"))
+    return joined.withColumn("observed", seen).withColumn("ok", F.col("observed").eqNullSafe(F.col("expected")))
 
 
 def rollup_status(checks: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Per cluster: RUNNING if all checks passed, STOP if none did, else PARTIAL; with both counts."""
+    """Per cluster: RUNNING if all checks passed, STOP if none did, else PARTIAL; with both counts.
+
+    A check without a result counts as failed.
+    """
+    checks = checks.withColumn("ok", F.coalesce("ok", F.lit(False)))
     status = (
         F.when(F.bool_and("ok"), RUNNING).when(~F.bool_or("ok"), STOP).otherwise(PARTIAL)
     )
@@ -59,7 +65,7 @@ def failing_checks(checks: DataFrame, cluster: str = "cluster") -> DataFrame:
     The failures stay rows rather than one list per cluster, so a large cluster never sits in one task.
     """
     partial = rollup_status(checks, cluster).where(F.col("status") == PARTIAL).select(cluster)
-    return splittable_join(checks.where(~F.col("ok")), partial, cluster, "left_semi").select(
+    return splittable_join(checks.where(~F.coalesce("ok", F.lit(False))), partial, cluster, "left_semi").select(
         cluster, "host", "service", "expected", "observed", _message().alias("message")
     )
 

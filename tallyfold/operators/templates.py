@@ -62,6 +62,9 @@ def _fill_from_table(templates: DataFrame, params: DataFrame, text: str, keys: l
     # zero for all others, and computed on the side of the values for the reason given in splittable_join.
     exploded = exploded.withColumn("_slot", F.when(F.col("_key").isNull(), F.xxhash64(*cols(keys))).otherwise(F.lit(0)))
     slot = F.pmod(F.hash("key"), F.lit(1)).cast("bigint")
+    # One value per key: the later one by ``pos`` if there is such a column, else the largest.
+    latest = F.max_by("value", F.struct("pos", "value")) if "pos" in params.columns else F.max("value")
+    params = params.groupBy("key").agg(latest.alias("value"))
     values = params.select(F.col("key").alias("_key"), F.col("value").alias("_value"), slot.alias("_slot"))
     shown = F.coalesce("_value", F.concat(F.lit("${"), "_key", F.lit("}")), F.lit(""))
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat("_plain", shown).alias("piece"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,14 +57,17 @@ def load_delimited(
     sep: str | None = None,
     quoted_breaks: bool = False,
 ) -> DataFrame:
-    """Read delimited files by position into ``schema``; the suffix of the path picks the separator.
+    """Read delimited files by position into ``schema``; the suffix of each path picks its separator.
 
     Rows end at LF, quotes and their escape are ``"``. Only the columns asked for are parsed. Large files
     are split over tasks, unless ``quoted_breaks`` allows line breaks inside quotes.
     """
-    first = path if isinstance(path, str) else path[0]
-    reader = spark.read.schema(text_schema(schema)).options(**read_options(sep or separator_for(first)))
-    return reader.csv(path, multiLine=quoted_breaks).select(*typed_columns(schema))
+    by_separator: dict[str, list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        by_separator.setdefault(sep or separator_for(one), []).append(one)
+    reader = spark.read.schema(text_schema(schema))
+    parts = [reader.options(**read_options(s)).csv(own, multiLine=quoted_breaks) for s, own in by_separator.items()]
+    return reduce(DataFrame.unionByName, parts).select(*typed_columns(schema))
 
 
 def load_into_table(spark: SparkSession, path: str | list[str], table: str, sep: str | None = None) -> None:
@@ -75,7 +79,9 @@ def write_delimited(df: DataFrame, path: str, sep: str | None = None) -> None:
     """Write a folder of delimited parts that ``load_delimited`` reads back, nulls included."""
     sep = sep or separator_for(path)
     rendered = [F.coalesce(col(c).cast("string"), F.lit(NULL_WORD)).alias(c) for c in df.columns]
-    df.select(*rendered).write.mode("overwrite").options(**read_options(sep), emptyValue="").csv(path)
+    df.select(*rendered).write.mode("overwrite").options(
+        **read_options(sep), emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
+    ).csv(path)
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,14 +11,17 @@ _TOKENS = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\
 
 
 def split_statements(text: str) -> list[str]:
-    """The statements of a script: cut at ``;``, comments dropped, quoted text left alone."""
-    marked = _TOKENS.sub(lambda m: "\0" if m[0] == ";" else " " if m[0][:2] in ("--", "/*") else m[0], text)
+    """The statements of a script: cut at ``;``, comments dropped, hints and quoted text left alone."""
+    marked = _TOKENS.sub(lambda m: "\0" if m[0] == ";" else " " if m[0][:2] in ("--", "/*") and m[0][:3] != "/*+" else m[0], text)
     return [s.strip() for s in marked.split("\0") if s.strip()]
 
 
 def run_sql(spark: SparkSession, text_or_paths: str | list[str]) -> DataFrame | None:
-    """Run a SQL text, or every statement of the listed SQL files, in order; the last result is returned."""
-    scripts = [text_or_paths] if isinstance(text_or_paths, str) else [_script(spark, p) for p in text_or_paths]
+    """Run a SQL text, or every statement of the listed SQL files, in order; the last result is returned.
+
+    A listed path may be a folder or a pattern: its files run in the order of their paths. Empty scripts do nothing.
+    """
+    scripts = [text_or_paths] if isinstance(text_or_paths, str) else [s for p in text_or_paths for s in _scripts(spark, p)]
     result = None
     for script in scripts:
         for statement in split_statements(script):
@@ -26,6 +29,7 @@ def run_sql(spark: SparkSession, text_or_paths: str | list[str]) -> DataFrame |
     return result
 
 
-def _script(spark: SparkSession, path: str) -> str:
-    # A script is driver-side input by nature: its statements are submitted one by one.
-    return spark.read.text(path, wholetext=True).first().value
+def _scripts(spark: SparkSession, path: str) -> list[str]:
+    # Scripts are driver-side input by nature: their statements are submitted one by one.
+    files = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path").orderBy("file_path")
+    return [r.value for r in files.collect()]

@@ -6,9 +6,11 @@ import pytest
 
 import __spark_entry__ as driver
 from oracle import duck, rows_of, rows_of_sql
+from tallyfold.plans import registry
 
 FOLDER = driver.SMOKE
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES = {n: run for n, run in driver.queries().items() if n in registry.QUERIES}
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")
