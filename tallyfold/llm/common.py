@@ -41,7 +41,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_batches(spark: SparkSession, most: str = "16m") -> None:
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
     """Bound the bytes of one Arrow batch, unless the session has a bound: long texts then come a few at a time."""
     if spark.conf.get(BATCH_BYTES).rstrip("b") == str(2**31 - 1):
         spark.conf.set(BATCH_BYTES, most)

@@ -159,7 +159,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, words: bool = False, most: int = 250_000) -> Encoder:
+def encoder(path: str, words: bool = False, most: int = 150_000) -> Encoder:
     """This worker's encoder: one for all tasks that it runs."""
     if (path, words) not in _ENCODERS:
         _ENCODERS[path, words] = Encoder(path, words, most)
