@@ -12,6 +12,7 @@ travels grows with the input, what is broadcast does not.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -88,10 +89,13 @@ def count_tables(rows: DataFrame) -> list[np.ndarray]:
     def join(kind: int, old: np.ndarray, new: np.ndarray) -> np.ndarray:
         return old + new if kind < 2 else np.maximum(old, new) if kind < 4 else old | new
 
+    def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(data), np.int64)
+
     def blocks(parts: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
         for (kind, shard), part in parts.items():
             if part.any():
-                data = [pa.array([kind]), pa.array([shard]), pa.array([part.tobytes()], pa.binary())]
+                data = [pa.array([kind]), pa.array([shard]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(data, names=["kind", "shard", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def count_tables(rows: DataFrame) -> list[np.ndarray]:
         parts: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for kind, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = np.frombuffer(data, np.int64)
+                part = unpacked(data)
                 old = parts.get((kind, shard))
                 parts[kind, shard] = part if old is None else join(kind, old, part)
         yield from blocks(parts)
@@ -126,7 +130,7 @@ def count_tables(rows: DataFrame) -> list[np.ndarray]:
     for batch in merged.toArrow().to_batches():  # as many blocks as the tables have, whatever the input
         for kind, shard, data in zip(*batch.columns, strict=True):
             at = shard.as_py() << BLOCK
-            tables[kind.as_py()][at : at + (1 << BLOCK)] = np.frombuffer(data.as_buffer(), np.int64)
+            tables[kind.as_py()][at : at + (1 << BLOCK)] = unpacked(data.as_buffer())
     return tables
 
 
