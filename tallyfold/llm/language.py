@@ -22,6 +22,7 @@ GRAMS = 20  # bits of an n-gram's number
 SLOTS = 21  # bits: slots of the filter
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 UNKNOWN = "und"
+RUN = 1 << 16  # characters worked on at a time, but for longer texts
 MOST = 1024  # languages
 
 
@@ -115,13 +116,14 @@ def train(docs: DataFrame, held_out: int = 1, least: int = 2, part: float = 0.25
 
         for batch in batches:
             texts, langs = texts_of(batch.column(0)), batch.column(1).to_pylist()
-            for a, b in runs(texts):
+            for a, b in runs(texts, RUN):
                 numbers, edges, _ = grams(texts[a:b])
                 order = np.repeat(np.arange(b - a), np.diff(edges))
                 own = np.array(langs[a:b])
                 for name in sorted(set(langs[a:b])):
-                    found = np.bincount(numbers[(own == name)[order]], minlength=1 << GRAMS)
-                    held[name] = held[name] + found if name in held else found
+                    if name not in held:
+                        held[name] = np.zeros(1 << GRAMS, np.int64)
+                    np.add.at(held[name], numbers[(own == name)[order]], 1)
                     if len(held) > 16:
                         yield from flush()
         yield from flush()
@@ -173,7 +175,7 @@ def judge(model: Filter | None, texts: list[str]) -> tuple[list[str], np.ndarray
     scores = np.zeros(len(texts))
     if model is None:
         return [UNKNOWN] * len(texts), scores
-    for a, b in runs(texts):
+    for a, b in runs(texts, RUN):
         found, scores[a:b] = model.decide(texts[a:b])
         names += found
     return names, scores

@@ -77,14 +77,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer).encode, task_index()
+        own, task = encoder(tokenizer), task_index()
         seen = np.zeros(size + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts, keys = texts_of(batch.column(1)), batch.column(0).to_pylist()
             for a, b in runs(texts):
                 rows: list[list] = [[], [], [], [], [], []]
-                for key, ids in zip(keys[a:b], encode(texts[a:b]), strict=True):
+                for key, ids in zip(keys[a:b], own.encode(texts[a:b]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     edges = list(range(n % size or min(n, size), n + 1, size))
@@ -97,6 +97,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
                     [pa.array(c, t) for c, t in zip([*rows[:5], [task] * len(rows[0]), rows[5]], PIECES.types, strict=True)],
                     schema=PIECES,
                 )
+        own.rest()
 
     small_batches(docs.sparkSession)
     kinds = "doc_id long, piece int, start long, length int, ids binary, task int, nth long"

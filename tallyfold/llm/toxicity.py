@@ -27,6 +27,7 @@ from tallyfold.llm.common import broadcast_within, remainder, runs, small_batche
 SLOTS = 20  # bits: sequences are told apart up to 2**SLOTS slots
 BLOCK = 14  # bits: slots in one block of a table on its way
 SPACE = 32
+RUN = 1 << 16  # characters worked on at a time, but for longer texts
 # Tables by number: counts of four letters by class (ordinary, toxic), the slot of each one's first three,
 # the slot of the first two of each trigram, and a bit map of the letters seen before a trigram.
 KINDS = ("ordinary", "toxic", "context", "short", "before")
@@ -102,11 +103,11 @@ def count_tables(rows: DataFrame) -> list[np.ndarray]:
         tables = empty()
         for batch in batches:
             texts, labels = texts_of(batch.column(0)), batch.column(1).to_numpy()
-            for a, b in runs(texts):
+            for a, b in runs(texts, RUN):
                 seen = Letters.of(texts[a:b])
                 toxic = np.repeat(labels[a:b], np.diff(seen.edges)) == 1
-                tables[0] += np.bincount(seen.four[~toxic], minlength=1 << SLOTS)
-                tables[1] += np.bincount(seen.four[toxic], minlength=1 << SLOTS)
+                np.add.at(tables[0], seen.four[~toxic], 1)
+                np.add.at(tables[1], seen.four[toxic], 1)
                 # slots that collide keep the larger number, whatever the order
                 np.maximum.at(tables[2], seen.four, seen.context + 1)
                 np.maximum.at(tables[3], seen.three, seen.short + 1)
@@ -170,7 +171,7 @@ class KneserNey:
     def compare(self, texts: list[str]) -> np.ndarray:
         """Per text: (log P(text | toxic) - log P(text | ordinary)) / sqrt(letters); 0 without letters."""
         out = np.zeros(len(texts))
-        for a, b in runs(texts):
+        for a, b in runs(texts, RUN):
             seen = Letters.of(texts[a:b])
             back = self.shared[seen.three] + self.rest[seen.short]
             toxic = self.own[1][seen.four] + self.left[1][seen.context] * back
