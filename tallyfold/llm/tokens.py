@@ -137,10 +137,6 @@ class Encoder:
             fresh[p] = ids + self.signs[sign]
         return fresh
 
-    def rest(self) -> None:
-        """Let go of the older pieces, as the worker may do other work next."""
-        self.older = {}
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text."""
         cut = [self.pieces(text) for text in texts]
