@@ -6,13 +6,12 @@ share. So contexts that are rare in either class, or alike in both, say nothing,
 expression are still recognised by their stem. A text is judged by the difference of its log-likelihoods, divided
 by the square root of its length: sums over unrelated letters grow with that root, so texts of all lengths compare.
 
-All labelled rows are counted. Each task adds up tables of a fixed size, which are merged by a shuffle of blocks: what
-travels grows with the input, what is broadcast does not.
+All labelled rows are counted, every sequence by itself: tasks add up their own, a shuffle the rest. The model grows with the
+number of different sequences, some 60 bytes each on the driver and in every task, and with nothing else.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -24,13 +23,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import broadcast_within, remainder, runs, small_batches, texts_of
 
-SLOTS = 20  # bits: sequences are told apart up to 2**SLOTS slots
-BLOCK = 14  # bits: slots in one block of a table on its way
 SPACE = 32
 RUN = 1 << 16  # characters worked on at a time, but for longer texts
-# Tables by number: counts of four letters by class (ordinary, toxic), the slot of each one's first three,
-# the slot of the first two of each trigram, and a bit map of the letters seen before a trigram.
-KINDS = ("ordinary", "toxic", "context", "short", "before")
 
 
 @cache
@@ -38,19 +32,57 @@ def _inside() -> np.ndarray:
     return np.fromiter((c == 39 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+def _four(context: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """One 64-bit key of four letters, which have 84 bits: two of a million sequences agree with a chance of 3e-8."""
+    return context * np.uint64(0xD6E8FEB86659FD93) ^ letter
+
+
+def _three(context: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    return (context << np.uint64(21) | letter) & np.uint64((1 << 63) - 1)
+
+
+class Index:
+    """Places of different keys, found by open addressing in a table that is at most a quarter full."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.bits = max(10, int(4 * len(keys) - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32 if len(keys) < 1 << 31 else np.int64)
+        rows, at = np.arange(len(keys)), self._start(keys)
+        while len(rows):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = rows[free]
+            lost = self.slots[at] != rows
+            rows, at = rows[lost], self._next(at[lost])
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _next(self, at: np.ndarray) -> np.ndarray:
+        return (at + 1) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for unknown ones."""
+        at = self._start(keys)
+        out = self.slots[at]
+        if not len(self.keys):
+            return out
+        rows = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = at[rows]
+        while len(rows):
+            at = self._next(at)
+            out[rows] = self.slots[at]
+            more = (out[rows] >= 0) & (self.keys[out[rows]] != keys[rows])
+            rows, at = rows[more], at[more]
+        return out
 
 
 @dataclass
 class Letters:
     """Some texts as letter sequences, one entry for every letter and every space behind one."""
 
-    four: np.ndarray  # slots of the letter with the three before it
-    context: np.ndarray  # of these three
-    three: np.ndarray  # of the letter with the two before it
-    short: np.ndarray  # of these two
-    before: np.ndarray  # a bit for the letter before the trigram
+    letter: np.ndarray
+    context: np.ndarray  # the three letters before it
     edges: np.ndarray  # where each text starts, and the end
 
     @classmethod
@@ -71,111 +103,82 @@ class Letters:
         two[1:] = codes[:-1] << np.uint64(21) | codes[1:]
         three = np.zeros_like(codes)
         three[1:] = (two[:-1] << np.uint64(21) | codes[1:]) & np.uint64((1 << 63) - 1)
-        four = np.zeros_like(codes)
-        four[1:] = three[:-1] * np.uint64(0xD6E8FEB86659FD93) ^ codes[1:]
         real = np.ones(len(codes), bool)
         real[(kept[:-1, None] + np.arange(3)).ravel()] = False
         at = np.flatnonzero(real)
-        bit = np.uint64(1) << ((codes[at - 3] * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(58))
         edges = kept - 3 * np.arange(len(kept))
-        return cls(_slot(four[at]), _slot(three[at - 1]), _slot(three[at]), _slot(two[at - 1]), bit, edges)
-
-
-def count_tables(rows: DataFrame) -> list[np.ndarray]:
-    """The tables of ``KINDS`` over ``text`` and ``label`` (0 or 1) of all rows."""
-
-    def empty() -> list[np.ndarray]:
-        return [np.zeros(1 << SLOTS, np.int64) for _ in KINDS]
+        return cls(codes[at], three[at - 1], edges)
 
-    def join(kind: int, old: np.ndarray, new: np.ndarray) -> np.ndarray:
-        return old + new if kind < 2 else np.maximum(old, new) if kind < 4 else old | new
 
-    def unpacked(data: bytes | pa.Buffer) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(data), np.int64)
-
-    def blocks(parts: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for (kind, shard), part in parts.items():
-            if part.any():
-                data = [pa.array([kind]), pa.array([shard]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(data, names=["kind", "shard", "data"])
+def count_sequences(rows: DataFrame) -> DataFrame:
+    """``context, letter, ordinary, toxic``: how often each letter stands after three others, from ``text`` and ``label`` (0 or 1)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = empty()
         for batch in batches:
             texts, labels = texts_of(batch.column(0)), batch.column(1).to_numpy()
             for a, b in runs(texts, RUN):
                 seen = Letters.of(texts[a:b])
                 toxic = np.repeat(labels[a:b], np.diff(seen.edges)) == 1
-                np.add.at(tables[0], seen.four[~toxic], 1)
-                np.add.at(tables[1], seen.four[toxic], 1)
-                # slots that collide keep the larger number, whatever the order
-                np.maximum.at(tables[2], seen.four, seen.context + 1)
-                np.maximum.at(tables[3], seen.three, seen.short + 1)
-                np.bitwise_or.at(tables[4].view(np.uint64), seen.three, seen.before)
-        yield from blocks({(k, s): part for k, t in enumerate(tables) for s, part in enumerate(t.reshape(-1, 1 << BLOCK))})
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for kind, shard, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = unpacked(data)
-                old = parts.get((kind, shard))
-                parts[kind, shard] = part if old is None else join(kind, old, part)
-        yield from blocks(parts)
+                _, first, number = np.unique(_four(seen.context, seen.letter), return_index=True, return_inverse=True)
+                data = [seen.context[first].view(np.int64), seen.letter[first].view(np.int64)]
+                data += [np.bincount(number[chosen], minlength=len(first)) for chosen in (~toxic, toxic)]
+                yield pa.RecordBatch.from_arrays([pa.array(d) for d in data], names=["context", "letter", "ordinary", "toxic"])
 
     small_batches(rows.sparkSession)
-    schema = "kind long, shard long, data binary"
-    counted = rows.select("text", F.col("label").cast("int")).mapInArrow(count, schema)
-    merged = counted.repartition("kind", "shard").mapInArrow(merge, schema)
-    tables = empty()
-    for batch in merged.toArrow().to_batches():  # as many blocks as the tables have, whatever the input
-        for kind, shard, data in zip(*batch.columns, strict=True):
-            at = shard.as_py() << BLOCK
-            tables[kind.as_py()][at : at + (1 << BLOCK)] = unpacked(data.as_buffer())
-    return tables
+    counted = rows.select("text", F.col("label").cast("int")).mapInArrow(count, "context long, letter long, ordinary long, toxic long")
+    return counted.groupBy("context", "letter").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 @dataclass
 class KneserNey:
-    """What scoring needs; arrays over slots, those of ``own`` and ``left`` by class."""
-
-    own: list[np.ndarray]  # probability of a letter after three, after the discount
-    left: list[np.ndarray]  # what three letters leave to the shared model
+    """What scoring needs; arrays by place in an index, with what holds for unknown sequences at the end."""
+
+    fours: Index
+    contexts: Index
+    threes: Index
+    shorts: Index
+    own: list[np.ndarray]  # by class: probability of a letter after three, after the discount
+    left: list[np.ndarray]  # by class: what three letters leave to the shared model
     shared: np.ndarray  # shared probability of a letter after two, after its discount
     rest: np.ndarray  # what two letters leave to all letters alike
     slope: float = 1.0
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, tables: list[np.ndarray], discount: float = 1.0, shared_discount: float = 0.5, letters: int = 40) -> KneserNey | None:
-        """None if a class has no text."""
-        if not (tables[0].any() and tables[1].any()):
+    def fit(cls, counted: pa.Table, discount: float = 1.0, shared_discount: float = 0.5, letters: int = 40) -> KneserNey | None:
+        """From the rows of ``count_sequences``; None if a class has no text."""
+        context, letter, *classes = (counted.column(c).to_numpy() for c in ("context", "letter", "ordinary", "toxic"))
+        if not all(counts.any() for counts in classes):
             return None
-        size = 1 << SLOTS
-        short = np.maximum(tables[3] - 1, 0)
-        kinds = np.bitwise_count(tables[4].view(np.uint64)).astype(np.float64)
-        total = np.bincount(short, kinds, minlength=size)
-        shared = np.maximum(kinds - shared_discount, 0) / np.maximum(total[short], 1)
-        given = np.bincount(short, shared, minlength=size)
-        rest = np.where(total > 0, np.clip(1 - given, 1e-6, 1), 1.0) / letters
-        model = cls([], [], shared.astype(np.float32), rest.astype(np.float32))
-        context = np.maximum(tables[2] - 1, 0)
-        for counts in tables[:2]:
-            total = np.bincount(context, counts, minlength=size)
-            own = np.maximum(counts - discount, 0) / np.maximum(total[context], 1)
-            left = np.where(total > 0, np.clip(1 - np.bincount(context, own, minlength=size), 1e-6, 1), 1.0)
-            model.own.append(own.astype(np.float32))
-            model.left.append(left.astype(np.float32))
-        return model
+        order = np.lexsort((letter, context))
+        context, letter = context[order].view(np.uint64), letter[order].view(np.uint64)
+        threes, three = np.unique(_three(context, letter), return_inverse=True)
+        shorts, short = np.unique(threes >> np.uint64(21), return_inverse=True)
+        kinds = np.bincount(three).astype(np.float64)  # each sequence of four has another letter before these three
+        shared = np.maximum(kinds - shared_discount, 0) / np.bincount(short, kinds)[short]
+        rest = np.clip(1 - np.bincount(short, shared), 1e-6, 1) / letters
+        contexts, after = np.unique(context, return_inverse=True)
+        own, left = [], []
+        for counts in classes:
+            counts = counts[order]
+            total = np.bincount(after, counts)
+            share = np.maximum(counts - discount, 0) / np.maximum(total[after], 1)
+            own.append(np.append(share, 0).astype(np.float32))
+            rests = np.where(total > 0, np.clip(1 - np.bincount(after, share), 1e-6, 1), 1.0)
+            left.append(np.append(rests, 1).astype(np.float32))
+        found = (Index(k) for k in (_four(context, letter), contexts, threes, shorts))
+        return cls(*found, own, left, np.append(shared, 0).astype(np.float32), np.append(rest, 1 / letters).astype(np.float32))
 
     def compare(self, texts: list[str]) -> np.ndarray:
         """Per text: (log P(text | toxic) - log P(text | ordinary)) / sqrt(letters); 0 without letters."""
         out = np.zeros(len(texts))
         for a, b in runs(texts, RUN):
             seen = Letters.of(texts[a:b])
-            back = self.shared[seen.three] + self.rest[seen.short]
-            toxic = self.own[1][seen.four] + self.left[1][seen.context] * back
-            ratio = np.log(toxic / (self.own[0][seen.four] + self.left[0][seen.context] * back))
+            three = _three(seen.context, seen.letter)
+            back = self.shared[self.threes.find(three)] + self.rest[self.shorts.find(three >> np.uint64(21))]
+            four, context = self.fours.find(_four(seen.context, seen.letter)), self.contexts.find(seen.context)
+            toxic = self.own[1][four] + self.left[1][context] * back
+            ratio = np.log(toxic / (self.own[0][four] + self.left[0][context] * back))
             sums = np.concatenate(([0.0], np.cumsum(ratio, dtype=np.float64)))[seen.edges]
             out[a:b] = np.diff(sums) / np.sqrt(np.maximum(np.diff(seen.edges), 1))
         return out
@@ -210,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(fold != 0)
     ones = known.where(fold == 1).count()
     joined = docs.select("doc_id", "text").where(fold != 0).join(broadcast_within(known, near), "doc_id")
-    model = KneserNey.fit(count_tables(joined.where(fold != 1)))
+    model = KneserNey.fit(count_sequences(joined.where(fold != 1)).toArrow())
     if model is None:
         return None
     share = int(min(1.0, rows / max(1, ones)) * (1 << 20))

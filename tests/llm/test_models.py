@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -102,3 +104,39 @@ def test_nothing_to_learn_from(written):
     empty = docs.where("false")
     assert toxicity.score_toxicity(empty, None).collect() == quality.score_quality(empty, None).collect() == []
     assert language.predict_language(empty, language.train(empty)).collect() == []
+
+
+def test_sequences_of_many_letters_are_told_apart(written):
+    rnd = random.Random(7)
+    rows = [("".join(chr(0x4E00 + rnd.randrange(400)) for _ in range(2000)), i % 2) for i in range(60)]
+    model = toxicity.KneserNey.fit(toxicity.count_sequences(written(rows, "text string, label int")).toArrow())
+    fours = [Counter(), Counter()]
+    for text, label in rows:
+        padded = f"   {text} "
+        fours[label].update(padded[i - 3 : i + 1] for i in range(3, len(padded)))
+    kinds, after = Counter(f[1:] for f in fours[0].keys() | fours[1].keys()), Counter()
+    for three, n in kinds.items():
+        after[three[:2]] += n
+    follow = [Counter(), Counter()]
+    different = [Counter(), Counter()]
+    for c in (0, 1):
+        for four, n in fours[c].items():
+            follow[c][four[:3]] += n
+            different[c][four[:3]] += 1
+    pairs = Counter(three[:2] for three in kinds)
+
+    def plain(text):
+        padded, total = f"   {text} ", 0.0
+        for i in range(3, len(padded)):
+            four = padded[i - 3 : i + 1]
+            short = four[1:3]
+            back = max(kinds[four[1:]] - 0.5, 0) / max(after[short], 1) + (0.5 * pairs[short] / after[short] if after[short] else 1) / 40
+            p = []
+            for c in (0, 1):
+                n = follow[c][four[:3]]
+                p.append(max(fours[c][four] - 1, 0) / max(n, 1) + (max(different[c][four[:3]] / n, 1e-6) if n else 1) * back)
+            total += math.log(p[1] / p[0])
+        return total / math.sqrt(len(padded) - 3)
+
+    texts = [text[k : k + 500] for (text, _), k in zip(rows, range(0, 1500, 25))]
+    assert model.compare(texts) == pytest.approx([plain(t) for t in texts], rel=1e-3, abs=1e-3)
