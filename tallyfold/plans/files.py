@@ -27,13 +27,13 @@ def load_psv(spark: SparkSession, folder: str) -> DataFrame:
     SELECT doc_id, replace(replace(text, chr(10), ' '), chr(13), '') AS text, lang, n_chars FROM documents
 """)
 def load_csv_quoted(spark: SparkSession, folder: str) -> DataFrame:
-    """Free text with commas and quotes, CRs inside and at line ends."""
-    text = F.translate("text", "\n", " ")
-    documents = table(spark, folder, "documents").select("doc_id", text.alias("text"), "lang", "n_chars")
+    """Free text with commas, quotes and line breaks, CRs inside and at line ends; breaks become blanks after loading."""
+    documents = table(spark, folder, "documents")
     path = shared_folder(spark, "documents") + ".csv"
     line_end = documents.withColumn("n_chars", F.concat("n_chars", F.lit("\r")))
-    delimited.write_delimited(line_end, path)
-    return delimited.load_delimited(spark, path, documents.schema)
+    delimited.write_delimited(line_end, path, quoted_breaks=True)
+    loaded = delimited.load_delimited(spark, path, documents.schema, quoted_breaks=True)
+    return loaded.select("doc_id", F.translate("text", "\n", " ").alias("text"), "lang", "n_chars")
 
 
 @query("""

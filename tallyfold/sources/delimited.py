@@ -75,10 +75,20 @@ def load_into_table(spark: SparkSession, path: str | list[str], table: str, sep:
     load_delimited(spark, path, spark.table(table).schema, sep).write.insertInto(table)
 
 
-def write_delimited(df: DataFrame, path: str, sep: str | None = None) -> None:
-    """Write a folder of delimited parts that ``load_delimited`` reads back, nulls included."""
+def write_delimited(df: DataFrame, path: str, sep: str | None = None, quoted_breaks: bool = False) -> None:
+    """Write a folder of delimited parts that ``load_delimited`` reads back with the same ``quoted_breaks``, nulls included.
+
+    A value with a line break needs ``quoted_breaks``; without it, writing fails rather than cut the row in two. Loading
+    drops CRs and reads the word NULL as null.
+    """
     sep = sep or separator_for(path)
-    rendered = [F.coalesce(col(c).cast("string"), F.lit(NULL_WORD)).alias(c) for c in df.columns]
+    rendered = []
+    for name in df.columns:
+        value = F.coalesce(col(name).cast("string"), F.lit(NULL_WORD))
+        if not quoted_breaks:
+            refused = F.raise_error(F.lit(f"a line break in column {name} needs quoted_breaks"))
+            value = F.when(F.contains(value, F.lit("\n")), refused).otherwise(value)
+        rendered.append(value.alias(name))
     df.select(*rendered).write.mode("overwrite").options(
         **read_options(sep), emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
     ).csv(path)

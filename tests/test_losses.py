@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as driver
 from tallyfold.operators import html, keyed, match, templates
+from tallyfold.plans.registry import table
 from tallyfold.sources.delimited import load_delimited, write_delimited
 from tallyfold.sources.sql_script import run_sql
 
@@ -69,3 +73,22 @@ def test_every_script_of_a_folder_runs(spark, tmp_path):
     (tmp_path / "b.sql").write_text("-- nothing\n")
     (tmp_path / "c.sql").write_text("SELECT /*+ COALESCE(1) */ x + 1 AS y FROM one")
     assert run_sql(spark, [str(tmp_path)]).first().y == 2
+
+
+def test_line_breaks_are_kept_or_refused(spark, tmp_path):
+    rows = [(1, 'a\n"b",|\n\nc\n'), (2, "\n"), (3, None), (4, "plain")]
+    frame = spark.createDataFrame(rows, PAIR).coalesce(1)
+    write_delimited(frame, str(tmp_path / "t.psv"), quoted_breaks=True)
+    assert sorted(map(tuple, load_delimited(spark, str(tmp_path / "t.psv"), PAIR, quoted_breaks=True).collect())) == rows
+    with pytest.raises(Exception, match="line break in column name"):
+        write_delimited(frame, str(tmp_path / "u.psv"))
+
+
+def test_documents_load_whole(spark, tmp_path):
+    documents = table(spark, driver.SMOKE, "documents")
+    path = str(tmp_path / "documents.csv")
+    write_delimited(documents, path, quoted_breaks=True)
+    loaded = load_delimited(spark, path, documents.schema, quoted_breaks=True)
+    wanted = documents.withColumn("text", F.translate("text", "\r", ""))
+    assert sorted(map(tuple, loaded.collect())) == sorted(map(tuple, wanted.collect()))
+    assert documents.where(F.contains("text", F.lit("\n"))).count() > 0
