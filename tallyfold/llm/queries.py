@@ -163,3 +163,66 @@ def op1_bradley_terry(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return quality.score_quality(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm.audit import audit
+
+    return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# Every document goes through every order by itself; no coalitions and no Shapley formula.
+ORACLES["op13_filter_audit"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+failed AS (
+  SELECT doc_id, part, list_filter([
+      CASE WHEN len(words) < 50 THEN 'A' END,
+      CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' END,
+      CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' END,
+      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+      CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' END
+    ], lambda x: x IS NOT NULL) AS fails
+  FROM texts
+),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+),
+steps AS (
+  SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+),
+marked AS (
+  SELECT d.*, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM failed d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY ALL) l USING (doc_id)
+),
+-- Documents of a part that fail the same filters and bear the same labels go through the orders together.
+alike AS (SELECT part, fails, good, toxic, count(*) AS n FROM marked GROUP BY ALL),
+fates AS (
+  SELECT part, filter_order, step, f, n, good, toxic, fails,
+    list_contains(fails, f) AS failing, len(list_filter(fails, lambda x: contains(earlier, x))) > 0 AS gone
+  FROM alike, steps
+),
+counted AS (
+  SELECT part, filter_order, step, f,
+    sum(n) FILTER (WHERE NOT gone AND NOT failing) AS kept,
+    sum(n) FILTER (WHERE NOT gone AND failing) AS removed,
+    sum(n) FILTER (WHERE gone AND failing) AS redundant,
+    sum(n) FILTER (WHERE fails = [f]) AS unique_fails,
+    sum(n) FILTER (WHERE NOT gone AND failing AND good) AS good_lost,
+    sum(n) FILTER (WHERE NOT gone AND failing AND toxic) AS toxic_lost
+  FROM fates GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
