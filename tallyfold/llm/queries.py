@@ -226,3 +226,75 @@ SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(rem
   (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley
 FROM counted
 """
+
+
+@query
+def op12_phrase_stripes(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm.collocations import best_phrases
+
+    return best_phrases(table(spark, folder, "documents"))
+
+
+ORACLES["op12_phrase_stripes"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+pieces AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM cut),
+placed AS (SELECT id, lang, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM pieces),
+runs AS (SELECT lang, w AS w1, lead(w) OVER piece AS w2, lead(w, 2) OVER piece AS w3 FROM placed WINDOW piece AS (PARTITION BY id ORDER BY i)),
+ones AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM runs GROUP BY ALL),
+twos AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL),
+threes AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+sizes AS (SELECT lang, sum(f) AS n FROM ones GROUP BY lang),
+over AS (
+  SELECT lang, w1, w2, max(f) AS f
+  FROM (SELECT lang, w1, w2, f FROM threes UNION ALL SELECT lang, w2 AS w1, w3 AS w2, f FROM threes) GROUP BY ALL
+),
+cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS k, l.f AS l, r.f AS r
+  FROM twos c JOIN ones l ON l.lang = c.lang AND l.w1 = c.w1 JOIN ones r ON r.lang = c.lang AND r.w1 = c.w2
+    LEFT JOIN over o ON o.lang = c.lang AND o.w1 = c.w1 AND o.w2 = c.w2
+  WHERE c.f >= 10 AND (o.f IS NULL OR 100 * o.f < 50 * c.f)
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, l.f, r.f
+  FROM threes c JOIN ones l ON l.lang = c.lang AND l.w1 = c.w1
+    JOIN twos r ON r.lang = c.lang AND r.w1 = c.w2 AND r.w2 = c.w3
+  UNION ALL
+  SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, l.f, r.f
+  FROM threes c JOIN twos l ON l.lang = c.lang AND l.w1 = c.w1 AND l.w2 = c.w2
+    JOIN ones r ON r.lang = c.lang AND r.w1 = c.w3
+),
+scored AS (SELECT *, 1000000 * a * a // (l * r) AS score FROM cuts),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+ranked AS (
+  SELECT lang, phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM lowest JOIN sizes USING (lang) WHERE place = 1
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+@query
+def op11_voronoi_join(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyfold.llm.voronoi import best_by_product
+
+    return best_by_product(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op11_voronoi_join"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
