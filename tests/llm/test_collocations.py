@@ -73,10 +73,20 @@ def test_empty_table(written):
     assert collocations.best_phrases(written([], TEXTS)).collect() == []
 
 
-def test_segments_hold_all_of_a_slot(written):
+def test_slots_hold_all_occurrences(written):
     docs = written([("a b a c " * 50, "en"), (None, None)], TEXTS)
-    sums = collocations.occurrences(docs.selectExpr("coalesce(lang, 'und') AS lang", "text"))
-    assert len(sums) == collocations.SLOTS and sums.sum() == 200 and sums[collocations.slot("en", b"a")] == 100
+    sums = collocations.occurrences(docs.selectExpr("coalesce(lang, 'und') AS lang", "text"), 1 << 18)
+    words = collocations.Words("en")
+    words.add(["a b a c"])
+    assert len(sums) == 1 << collocations.SLOT_BITS and sums.sum() == 200
+    assert [sums[s] for s in collocations.slots(words.hashes())[2:]] == [100, 50, 50]
+
+
+def test_a_full_bitmap_changes_nothing(written, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_BITS", 16)
+    monkeypatch.setattr(collocations, "_holds", lambda bits, hashes: hashes >= 0)
+    docs = [("a b c d a b c. d a", "en")] * 7 + [("b c d", "fr")] * 11
+    assert sorted(map(tuple, collocations.best_phrases(written(docs, TEXTS)).collect())) == plain(docs)
 
 
 def test_query_against_sql(spark):
