@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators.columns import cols, names
+from tallyfold.session import shared_folder
 
 
 def heavy_keys(
@@ -48,3 +49,10 @@ def splittable_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str]
     slot = F.pmod(F.hash(*cols(keys)), F.lit(1))
     joined = left.withColumn("_slot", slot).join(right.withColumn("_slot", slot), [*names(keys), "_slot"], how)
     return joined.drop("_slot")
+
+
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read back: a small side table that several joins use."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -54,55 +54,6 @@ def _longs(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
-class SliceMatcher(StatefulProcessor):
-    """Holds the events of some keys in one time slice until the watermark has passed the slice.
-
-    Then puts out the matches inside the slice, and for each key the rows at the slice's edges, which may
-    be part of a match that spans slices.
-    """
-
-    def __init__(self, pattern: Sequence[str], width_ms: int, key_type: T.DataType, riding: int) -> None:
-        self.pattern, self.width_ms, self.riding = list(pattern), width_ms, riding
-        self.stored = T.StructType(
-            [T.StructField("key", key_type), *_longs("us", "id"), T.StructField("kind", T.StringType())]
-        )
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", self.stored)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            if not batch.empty:
-                self.events.appendList(list(batch[self.stored.names].itertuples(index=False, name=None)))
-        self.handle.registerTimer((key[1] + 1) * self.width_ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        line = pd.DataFrame([tuple(e) for e in self.events.get()], columns=self.stored.names)
-        self.events.clear()
-        if line.empty:
-            return
-        line = line.sort_values(["key", "us", "id"], ignore_index=True)
-        steps = len(self.pattern) - 1
-        of_key = line.groupby("key", sort=False)
-        place = of_key.cumcount()
-        line["settled"] = of_key.cumcount(ascending=False) >= steps
-        line["hit"] = line["settled"]
-        for i, kind in enumerate(self.pattern):
-            line["hit"] &= line["kind"].shift(-i) == kind
-        for name in ("us", "id"):
-            line[f"end_{name}"] = line[name].shift(-steps).where(line["settled"]).astype("Int64")
-        edge = (place < steps) | ~line["settled"]
-        line["edge"] = edge
-        few = line["hit"].groupby(line["key"], sort=False).transform("sum") <= self.riding
-        line["part"] = (edge | few).map({True: _EDGES, False: int(key[1])})
-        yield line[edge | line["hit"]]
-
-    def close(self) -> None:
-        pass
-
-
 class EdgeMatcher(StatefulProcessor):
     """Joins up the edges of a key's slices; settled matches pass through, many of them as a group of their own.
 
@@ -162,40 +113,28 @@ def match_sequence_stream(
     kind: str,
     pattern: Sequence[str],
     delay: str,
-    slice_seconds: int = 1,
-    groups: int = 64,
+    slice_seconds: int = 3600,
     riding: int = 256,
 ) -> DataFrame:
     """The batch matcher's rows for a stream: ``key, start_ts, end_ts, start_id, end_id``.
 
     ``ts`` is a timestamp; events more than ``delay`` behind the newest one are dropped. A match comes out
-    once the watermark has passed the time slice of its last event. Events first meet by time slice and
-    by one of ``groups`` groups of keys: with slices much shorter than a batch, the events of one busy key
-    are spread over tasks, and a state holds no more than one slice. Only what is left at the slices' edges
-    is then brought together by key, along with up to ``riding`` settled matches of a key and slice; more of
-    them go on as a group of their own. Start the query under ``state_settings``.
+    once the watermark has passed the time slice of its last event. A windowed aggregate gathers the events of one
+    key and slice and is dropped when the slice is over; built-in functions put them in order and match them. So
+    ``slice_seconds`` bounds what is held of a key: make it short where keys are busy. Only the rows at the
+    slices' edges go on to a processor that joins them up by key, along with up to ``riding`` settled matches of a
+    key and slice; more of them go on as a group of their own. Start the query under ``state_settings``.
     """
-    width_ms = slice_seconds * 1000
     known = F.col(ts).isNotNull() & F.col(key).isNotNull()
-    slim = events.withWatermark(ts, delay).where(known).select(
-        F.pmod(F.hash(key), F.lit(groups)).alias("group"),
-        F.floor(F.unix_micros(ts) / (width_ms * 1000)).alias("slice"),
-        F.col(key).alias("key"),
-        F.col(ts).alias("ts"),
-        F.unix_micros(ts).alias("us"),
-        F.col(order).cast("bigint").alias("id"),
-        F.col(kind).alias("kind"),
-    )
-    key_type = slim.schema["key"].dataType
-    flags = [T.StructField(n, T.BooleanType()) for n in ("settled", "hit", "edge")]
-    matcher = SliceMatcher(pattern, width_ms, key_type, riding)
-    in_slices = slim.groupBy("group", "slice").transformWithStateInPandas(
-        statefulProcessor=matcher,
-        outputStructType=T.StructType([*matcher.stored, *flags, *_longs("end_us", "end_id", "part")]),
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-    matches = in_slices.groupBy("key", "part").transformWithStateInPandas(
+    slim = events.withWatermark(ts, delay).where(known)
+    event = F.struct(F.unix_micros(ts).alias("us"), F.col(order).cast("bigint").alias("id"), F.col(kind).alias("kind"))
+    key_type = slim.schema[key].dataType
+    slices = slim.groupBy(F.window(ts, f"{slice_seconds} seconds"), F.col(key).alias("key")).agg(F.array_sort(F.collect_list(event)).alias("line"))
+    sliced = slices.select("key", F.unix_micros("window.start").alias("slice"), F.filter(_matched(pattern), lambda e: e["edge"] | e["hit"]).alias("rows"))
+    few = F.size(F.filter("rows", lambda e: e["hit"])) <= riding
+    rows = sliced.select("key", "slice", few.alias("few"), F.explode("rows").alias("e"))
+    part = F.when(F.col("e.edge") | F.col("few"), _EDGES).otherwise(F.col("slice")).alias("part")
+    matches = rows.select("key", part, "e.*").groupBy("key", "part").transformWithStateInPandas(
         statefulProcessor=EdgeMatcher(pattern),
         outputStructType=T.StructType([T.StructField("key", key_type), *_longs(*_FOUND)]),
         outputMode="Append",
@@ -208,3 +147,24 @@ def match_sequence_stream(
         "start_id",
         "end_id",
     )
+
+
+def _matched(pattern: Sequence[str]) -> Column:
+    """The events of ``line`` with what the line itself says: is a match settled here, is there one, where does it end, may a neighbouring slice matter."""
+    steps = len(pattern) - 1
+
+    def look(event: Column, i: Column) -> Column:
+        settled = i < F.size("line") - steps
+        fits = settled
+        for j, kind in enumerate(pattern):
+            fits = fits & F.coalesce(F.get("line", i + j)["kind"] == kind, F.lit(False))
+        end = F.get("line", i + steps)
+        return F.struct(
+            *(event[n].alias(n) for n in _EVENT),
+            settled.alias("settled"),
+            fits.alias("hit"),
+            ((i < steps) | ~settled).alias("edge"),
+            *(end[n].alias(f"end_{n}") for n in ("us", "id")),
+        )
+
+    return F.transform("line", look)

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.operators.sequence import match_sequence
+from tallyfold.operators import sequence
+from tallyfold.operators.sequence import _with_slices, match_sequence
 from tallyfold.operators.skew import heavy_keys
 from tallyfold.session import shared_folder
 from tallyfold.streaming import files
@@ -48,7 +49,7 @@ SCHEMA = "k string, ts timestamp_ntz, id bigint, kind string"
 def test_batch_equals_brute_force(spark, pattern, floor):
     events = make_events(len(pattern) + floor)
     df = spark.createDataFrame(events, SCHEMA)
-    found = match_sequence(df, "k", "ts", "id", "kind", list(pattern), most=20, floor=floor)
+    found = match_sequence(df, "k", "ts", "id", "kind", list(pattern), slices=20, floor=floor)
     assert sorted(tuple(r) for r in found.collect()) == brute_force(events, pattern)
 
 
@@ -58,6 +59,25 @@ def test_one_moment_for_all_events(spark):
     assert found.count() == 49
 
 
+@pytest.mark.parametrize("spread", ["even", "stray", "moments"])
+def test_slices_of_a_heavy_key_are_even(spark, spread):
+    """One event long before all others, or most events at a few moments: no slice is much above the mean."""
+    moment = {"even": "id", "stray": "if(id = 7, -100000000, id)", "moments": "if(id % 4 = 0, id, 5000 * (id % 3))"}[spread]
+    slim = spark.range(20_000).selectExpr("'k' AS key", f"{moment} AS us", "id").unionAll(spark.sql("SELECT 'small', 1L, 2L"))
+    cut = _with_slices(slim, 16, 100).where("key = 'k'")
+    sizes = [r["count"] for r in cut.groupBy("slice").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) >= 12 and max(sizes) <= 2 * 20_000 / 16
+    ends = cut.groupBy("slice").agg(F.min(F.struct("us", "id")).alias("low"), F.max(F.struct("us", "id")).alias("high")).orderBy("slice").collect()
+    assert all(tuple(a.high) < tuple(b.low) for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_more_heavy_keys_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "SMALL", 1)
+    events = make_events(11)
+    found = match_sequence(spark.createDataFrame(events, SCHEMA), "k", "ts", "id", "kind", ["x", "x"], slices=5, floor=20)
+    assert sorted(tuple(r) for r in found.collect()) == brute_force(events, "xx")
+
+
 def test_heavy_keys_are_few(spark, rows):
     df = spark.range(10_000).select(F.when(F.col("id") < 4000, -1).otherwise(F.col("id")).alias("k"))
     found = heavy_keys(df, "k", floor=10)
@@ -82,7 +102,7 @@ def test_stream_equals_batch(spark, pattern, parts, riding):
         df = spark.createDataFrame(shuffled, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
         df.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        found = match_sequence_stream(stream, "k", "ts", "id", "kind", list(pattern), "1 second", 1800, 2, riding)
+        found = match_sequence_stream(stream, "k", "ts", "id", "kind", list(pattern), "1 second", 1800, riding)
         with state_settings(spark, 2):
             files.drain(found, out, checkpoint)
     back = spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
