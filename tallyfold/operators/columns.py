@@ -24,3 +24,8 @@ def cols(value: str | Sequence[str]) -> list[Column]:
 def ordering(version: str | Sequence[str]) -> Column:
     """One comparable column out of one or more version columns; it is never null, and a null version is the oldest."""
     return F.struct(*(part for v in cols(version) for part in (v.isNotNull(), v)))
+
+
+def hash128(value: Column) -> Column:
+    """128 bits that stand for a value: two hashes of it with different seeds."""
+    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(1), value).alias("b"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.operators.columns import col, cols, names
+from tallyfold.operators.columns import col, cols, hash128, names
 
 FAMILIES = {
     "long": (T.ByteType, T.ShortType, T.IntegerType, T.LongType),
@@ -35,7 +35,7 @@ def column_stats(
 
     Numbers and dates: low, high, nulls, distinct count. Strings: longest, mean length, nulls, distinct
     count. ``ndv="sketch"`` keeps a mergeable sketch of fixed size, and all columns come from one pass.
-    ``ndv="exact"`` counts distinct values, which shuffles each column once, paired with its partition only.
+    ``ndv="exact"`` counts distinct values in a second pass over all columns, which shuffles a hash for each distinct value.
     """
     if ndv not in ("sketch", "exact"):
         raise ValueError("ndv is 'sketch' or 'exact'")
@@ -74,19 +74,15 @@ STAT_COLUMNS = (
 
 
 def _distinct_counts(df: DataFrame, part: list[str], columns: Sequence[str]) -> DataFrame:
-    """Exact distinct counts, one narrow distinct per column rather than one wide row copied per column."""
-    counts = [
-        df.select(*cols(part), col(name).alias("_value"))
-        .distinct()
-        .groupBy(*cols(part))
-        .agg(F.count("_value").alias("ndv"))
-        .withColumn("column", F.lit(name))
-        for name in columns
-    ]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
-    return out
+    """Exact distinct counts in one scan: every value as its column's number and its hash, made distinct before the shuffle.
+
+    Hashes have 128 bits, so values themselves are not sent. A column of nulls only counts zero.
+    """
+    values = [F.struct(F.lit(i).alias("at"), F.when(col(n).isNotNull(), hash128(col(n))).alias("value")) for i, n in enumerate(columns)]
+    single = df.select(*cols(part), F.inline(F.array(*values))).distinct()
+    counts = single.groupBy(*cols(part), "at").agg(F.count("value").alias("ndv"))
+    named = F.element_at(F.array(*(F.lit(n) for n in columns)), F.col("at") + 1)
+    return counts.withColumn("column", named).drop("at")
 
 
 def _same(by: list[str], left: DataFrame, right: DataFrame) -> Column:

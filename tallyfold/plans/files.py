@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.operators import keyed, shape
+from tallyfold.operators import shape
 from tallyfold.plans.match import PAIR_SQL
 from tallyfold.plans.registry import query, table
 from tallyfold.session import shared_folder
-from tallyfold.sources import access_log, delimited, properties, sql_script, tables
-from tallyfold.streaming import files
+from tallyfold.sources import access_log, delimited, properties, sql_script, stored, tables
+from tallyfold.sources import retention as retained
+from tallyfold.streaming import files, growing
 from tallyfold.streaming import sequence as stream_sequence
 
 
@@ -36,6 +41,39 @@ def load_csv_quoted(spark: SparkSession, folder: str) -> DataFrame:
     return loaded.select("doc_id", F.translate("text", "\n", " ").alias("text"), "lang", "n_chars")
 
 
+_RESCUE_SQL = """
+    SELECT o_orderkey,
+        CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'NULL' WHEN 2 THEN o_orderstatus || ',"' || o_orderpriority || '"'
+            WHEN 3 THEN '' ELSE o_orderpriority END AS o_orderpriority,
+        CASE WHEN o_orderkey % 7 NOT IN (4, 5) THEN o_totalprice END AS o_totalprice,
+        CASE o_orderkey % 7
+            WHEN 4 THEN o_orderkey || ',' || o_orderpriority
+            WHEN 5 THEN o_orderkey || ',' || o_orderpriority || ',dear'
+            WHEN 6 THEN o_orderkey || ',' || o_orderpriority || ',' || o_totalprice || ',,more' END AS line,
+        CASE o_orderkey % 7 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 5 END AS fields,
+        CASE o_orderkey % 7 WHEN 4 THEN '' WHEN 5 THEN 'o_totalprice' WHEN 6 THEN '' END AS uncast
+    FROM orders
+"""
+
+
+@query(_RESCUE_SQL)
+def load_rescued(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as text: bare and quoted NULL, quoted separators and quotes, empty, short, long and uncastable rows."""
+    kind = F.col("o_orderkey") % 7
+    plain = F.concat_ws(",", "o_orderkey", "o_orderpriority")
+    quoted = F.concat("o_orderstatus", F.lit(',""'), "o_orderpriority", F.lit('""'))
+    middle = F.when(kind == 0, "NULL").when(kind == 1, '"NULL"').when(kind == 2, F.concat(F.lit('"'), quoted, F.lit('"')))
+    middle = middle.when(kind == 3, "").otherwise(F.col("o_orderpriority"))
+    whole = F.concat_ws(",", "o_orderkey", middle, "o_totalprice")
+    line = F.when(kind == 4, plain).when(kind == 5, F.concat(plain, F.lit(",dear"))).when(kind == 6, F.concat(whole, F.lit(",,more")))
+    path = shared_folder(spark, "orders")
+    orders = table(spark, folder, "orders")
+    orders.select(F.concat(line.otherwise(whole), F.lit("\r"))).write.text(path)
+    rows = delimited.load_rescued(spark, path, orders.select("o_orderkey", "o_orderpriority", "o_totalprice").schema, ",")
+    said = [F.col("rescued.line"), F.col("rescued.fields"), F.concat_ws(",", F.col("rescued.uncast")).alias("uncast")]
+    return rows.select("o_orderkey", "o_orderpriority", "o_totalprice", *said[:2], F.when(F.col("rescued").isNotNull(), said[2]).alias("uncast"))
+
+
 @query("""
     SELECT 'nation' AS source, n_nationkey AS id, n_name AS name FROM nation
     UNION ALL SELECT 'supplier_list', s_suppkey, s_name FROM supplier
@@ -215,10 +253,17 @@ def append_rows(spark: SparkSession, folder: str) -> DataFrame:
     return tables.append_rows(nation, [(101, "ATLANTIS"), (102, "LEMURIA")], ["n_nationkey", "n_name"])
 
 
-@query("SELECT *, ts::DATE AS day FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 168 HOUR FROM events)")
+@query("""
+    WITH dated AS (SELECT * REPLACE (CASE WHEN event_id % 97 <> 0 THEN ts END AS ts) FROM events)
+    SELECT *, ts::DATE AS day FROM dated WHERE ts IS NULL OR ts >= (SELECT max(ts) - INTERVAL 168 HOUR FROM dated)
+""")
 def retention(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that come in two steps, some without a time: the second step drops days and cuts the one at the bound."""
+    events = table(spark, folder, "events").withColumn("ts", F.when(F.col("event_id") % 97 != 0, F.col("ts")))
+    later = F.col("ts") >= events.agg(F.max("ts") - F.expr("INTERVAL 60 HOURS")).scalar()
     path = shared_folder(spark, "events")
-    tables.write_partitioned(table(spark, folder, "events"), path, "ts")
+    retained.append_retained(events.where(~later | F.col("ts").isNull()), path, "ts")
+    retained.append_retained(events.where(later), path, "ts")
     return spark.read.parquet(path)
 
 
@@ -227,6 +272,8 @@ def _customer_table(spark: SparkSession, folder: str) -> str:
         [
             T.StructField("c_custkey", T.LongType(), metadata={"comment": "customer number"}),
             T.StructField("c_name", T.VarcharType(64), metadata={"comment": "name"}),
+            T.StructField("c_nationkey", T.IntegerType(), metadata={"comment": "nation"}),
+            T.StructField("c_acctbal", T.DoubleType(), metadata={"comment": "balance"}),
             T.StructField("c_mktsegment", T.VarcharType(32), metadata={"comment": "the customer's segment"}),
         ]
     )
@@ -237,22 +284,27 @@ def _customer_table(spark: SparkSession, folder: str) -> str:
     return name
 
 
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def create_table(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(_customer_table(spark, folder))
 
 
 @query("""
-    SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'MACHINES' ELSE c_mktsegment END AS c_mktsegment
-    FROM customer WHERE c_mktsegment <> 'BUILDING'
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal,
+        CASE WHEN c_mktsegment = 'MACHINERY' AND c_acctbal > 0 THEN 'MACHINES' ELSE c_mktsegment END AS c_mktsegment
+    FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 497000)
+    UNION ALL SELECT -1, 'nobody', NULL, 0, 'MACHINES'
 """)
 def rewrite_table(spark: SparkSession, folder: str) -> DataFrame:
-    """A table changed in place: some rows upserted under a new segment, others deleted."""
+    """A stored table changed in place by file: rows upserted under a new segment or a new key, others deleted by key and by condition."""
     name = _customer_table(spark, folder)
-    rows = spark.table(name)
-    renamed = rows.where("c_mktsegment = 'MACHINERY'").withColumns({"c_mktsegment": F.lit("MACHINES"), "v": F.lit(1)})
-    after = keyed.upsert(rows, renamed, "c_custkey", "v")
-    tables.replace_rows(spark, name, shape.delete_where(after, F.col("c_mktsegment") == "BUILDING"))
+    rows = table(spark, folder, "customer").select(*spark.table(name).columns)
+    renamed = rows.where("c_mktsegment = 'MACHINERY' AND c_acctbal > 0").withColumn("c_mktsegment", F.lit("MACHINES"))
+    nobody = rows.sparkSession.createDataFrame([(-1, "nobody", None, 0.0, "MACHINES")], rows.schema)
+    stored.upsert_stored(spark, name, renamed.unionByName(nobody).withColumn("v", F.lit(1)), "c_custkey", "v")
+    stored.delete_stored_where(spark, name, F.col("c_mktsegment") == "BUILDING")
+    dear = table(spark, folder, "orders").where("o_totalprice > 497000").select(F.col("o_custkey").alias("c_custkey"))
+    stored.delete_stored_keys(spark, name, dear, "c_custkey")
     return spark.table(name)
 
 
@@ -291,6 +343,45 @@ def tail(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _grow(lines: DataFrame, folder: str, lengths: dict[str, int], parts: int, whole: bool) -> dict[str, int]:
+    """Add ``line`` to the log of each ``part``, in order of ``event_id``: what a service does to its own log.
+
+    Unless ``whole``, the last line of a log stays without its break. A log is first cut to the length it had, so a task that is
+    run again writes the same bytes.
+    """
+
+    def write(rows: Iterator[Row]) -> None:
+        for part, group in itertools.groupby(rows, lambda r: r.part):
+            name = f"part-{part}.log"
+            with open(f"{path}/{name}", "ab") as log:
+                log.truncate(lengths.get(name, 0))
+                between = b"\n" if lengths.get(name) else b""
+                for row in group:
+                    log.write(between + row.line.encode())
+                    between = b"\n"
+                if whole:
+                    log.write(b"\n")
+
+    path = growing.open_system(folder)[1]
+    Path(path).mkdir(parents=True, exist_ok=True)
+    lines.repartition(parts, "part").sortWithinPartitions("part", "event_id").foreachPartition(write)
+    return {name.rsplit("/", 1)[-1]: size for name, size in growing.grown_files(folder).items()}
+
+
+@query(f"SELECT {_LINE_SQL} AS value FROM events")
+def tail_growing(spark: SparkSession, folder: str) -> DataFrame:
+    """Logs that grow between two runs; the first run finds the last line of each half-written."""
+    events = table(spark, folder, "events")
+    lines = events.select(F.pmod("event_id", F.lit(4)).alias("part"), "event_id", F.concat_ws("|", *_LINE).alias("line"))
+    source, out, position = (shared_folder(spark, n) for n in ("logs", "tail", "position"))
+    half = F.col("event_id") < lines.agg(F.avg("event_id")).scalar()
+    lengths: dict[str, int] = {}
+    for rows, whole in ((lines.where(half), False), (lines.where(~half), True)):
+        lengths = _grow(rows, source, lengths, 4, whole)
+        files.drain(growing.tail_growing(spark, source, "*.log"), out, position)
+    return spark.read.parquet(out).select("value")
+
+
 @query("SELECT count(*) AS matches FROM events WHERE event_type = 'error' OR event_type = 'view'")
 def stream_match_count(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "totals")
@@ -321,7 +412,7 @@ def sequence_stream(spark: SparkSession, folder: str) -> DataFrame:
     events.unionByName(beat).write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
     found = stream_sequence.match_sequence_stream(
-        stream, "user_id", "ts", "event_id", "event_type", ["error", "error"], "1 hour", slice_seconds=86400, groups=8
+        stream, "user_id", "ts", "event_id", "event_type", ["error", "error"], "1 hour"
     )
     out = shared_folder(spark, "matches")
     with stream_sequence.state_settings(spark):

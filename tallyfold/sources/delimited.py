@@ -70,6 +70,60 @@ def load_delimited(
     return reduce(DataFrame.unionByName, parts).select(*typed_columns(schema))
 
 
+RESCUED = "rescued"
+
+
+def load_rescued(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, sep: str | None = None, bad: str = "keep"
+) -> DataFrame:
+    """Read delimited files by position as ``load_delimited`` does, and say of each row what did not fit.
+
+    The column ``rescued`` is null for a row that fits, else it holds the ``line``, its number of ``fields``, and the names of
+    the columns whose text ``uncast`` to their type. Such rows keep what fits: columns that are missing or do not cast are
+    null, fields beyond the schema are left to ``line``. ``bad="drop"`` leaves them out, ``bad="fail"`` ends the job at the
+    first. A bare ``NULL`` is a null, a quoted one is text; an empty field is an empty string in a text column and a null in
+    any other. Rows end at line feeds, quoted or not, so files are split over tasks; an empty line is a row of one empty field.
+    """
+    if bad not in ("keep", "drop", "fail"):
+        raise ValueError("bad is 'keep', 'drop' or 'fail'")
+    by_separator: dict[str, list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        by_separator.setdefault(sep or separator_for(one), []).append(one)
+    parts = [_rescued(spark.read.option("lineSep", "\n").text(own), schema, s) for s, own in by_separator.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    if bad == "drop":
+        return rows.where(F.col(RESCUED).isNull()).drop(RESCUED)
+    if bad == "fail":
+        said = F.concat(F.lit("a row does not fit: "), F.col(f"{RESCUED}.line"))
+        return rows.where(F.when(F.col(RESCUED).isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True)).drop(RESCUED)
+    return rows
+
+
+def _rescued(lines: DataFrame, schema: T.StructType, sep: str) -> DataFrame:
+    line = F.translate("value", "\r", "")
+    # Each field with the separator before it, quotes kept; one that is quoted in part only is plain text.
+    mark = re.escape(sep)
+    fields = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{mark}("[^"]*+(?:""[^"]*+)*+"(?={mark}|$)|[^{mark}]*+)'), 1)
+    rows = lines.select(line.alias("_line"), fields.alias("_fields"))
+    n = F.size("_fields")
+    values, uncast = [], []
+    for i, field in enumerate(schema):
+        raw = F.get("_fields", F.lit(i))
+        quoted = raw.startswith(QUOTE) & raw.endswith(QUOTE) & (F.length(raw) > 1)
+        plain = F.when(quoted, F.replace(F.expr(f"substring(_fields[{i}], 2, length(_fields[{i}]) - 2)"), F.lit('""'), F.lit(QUOTE))).otherwise(raw)
+        text = F.when(~quoted & (raw == NULL_WORD), None).otherwise(plain)
+        if isinstance(field.dataType, T.StringType):
+            value = text
+        else:
+            value = text.try_cast(field.dataType)
+            given = text.isNotNull() & (text != "")
+            uncast.append(F.when(given & value.isNull(), F.lit(field.name)))
+        values.append(F.when(n > i, value).alias(field.name, metadata=field.metadata))
+    failed = F.array_compact(F.array(*uncast)) if uncast else F.array().cast("array<string>")
+    rescued = F.struct(F.col("_line").alias("line"), n.alias("fields"), failed.alias("uncast"))
+    return rows.select(*values, F.when((n != len(schema)) | (F.size(failed) > 0), rescued).alias(RESCUED))
+
+
 def load_into_table(spark: SparkSession, path: str | list[str], table: str, sep: str | None = None) -> None:
     """Append delimited files to an existing table; fields are bound by position."""
     load_delimited(spark, path, spark.table(table).schema, sep).write.insertInto(table)

@@ -60,6 +60,9 @@ def _cut_border(spark: SparkSession, path: str, day: str, kept: Column) -> None:
     # Written aside first: the day is never read while it is replaced, and a failed swap can be done again.
     staged = shared_folder(spark, "border")
     rows.where(kept).write.parquet(staged)
+    if spark.read.schema(rows.schema).parquet(staged).isEmpty():  # an overwrite with nothing would leave the day as it is
+        Folder(spark, path).remove(f"{DAY}={day}")
+        return
     dated = spark.read.schema(rows.schema).parquet(staged).withColumn(DAY, F.lit(day).cast("date"))
     swap = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     swap.partitionBy(DAY).parquet(path)

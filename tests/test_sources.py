@@ -199,3 +199,25 @@ def test_retention_is_pushed_down_and_pruned(spark, tmp_path):
     assert back.count() == 25
     newest = back.where("day = date'2024-01-17'")
     assert "PartitionFilters: [isnotnull(day" in newest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_do_not_fit_are_rescued(spark, rows, tmp_path):
+    schema = T.StructType().add("id", "integer").add("name", "string").add("n", "double")
+    text = '1,NULL,2.5\r\n2,"NULL",\n3,"a ""b"", c",NULL\n4,short\n5,x,1,2\nsix,y,z\n\n7,a"b,""\n8,"open,3\n'
+    (tmp_path / "a.csv").write_text(text)
+    loaded = delimited.load_rescued(spark, str(tmp_path / "a.csv"), schema)
+    found = {r.rescued.line if r.rescued else None: r for r in loaded.collect()}
+    good = sorted(tuple(r)[:3] for r in loaded.where("rescued IS NULL").collect())
+    assert good == [(1, None, 2.5), (2, "NULL", None), (3, 'a "b", c', None), (7, 'a"b', None), (8, '"open', 3.0)]
+    assert tuple(found["4,short"])[:3] == (4, "short", None) and found["4,short"].rescued.fields == 2
+    assert tuple(found["5,x,1,2"])[:3] == (5, "x", 1.0) and found["5,x,1,2"].rescued.uncast == []
+    assert tuple(found["six,y,z"])[:3] == (None, "y", None) and found["six,y,z"].rescued.uncast == ["id", "n"]
+    assert found[""].rescued.fields == 1 and len(found) == 5
+    assert delimited.load_rescued(spark, str(tmp_path / "a.csv"), schema, bad="drop").count() == 5
+    with pytest.raises(Exception, match="a row does not fit"):
+        delimited.load_rescued(spark, str(tmp_path / "a.csv"), schema, bad="fail").collect()
+    long = '9,"' + 'x""' * 50_000 + '",1\n'
+    (tmp_path / "b.psv").write_text("10|a,b|2\n")
+    (tmp_path / "c.csv").write_text(long)
+    more = delimited.load_rescued(spark, [str(tmp_path / "b.psv"), str(tmp_path / "c.csv")], schema).collect()
+    assert sorted((r.id, len(r.name), r.rescued) for r in more) == [(9, 100_000, None), (10, 3, None)]

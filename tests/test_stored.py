@@ -119,6 +119,14 @@ def test_a_second_run_rewrites_one_day(spark, tmp_path):
     assert digests(tmp_path / "events") == after
 
 
+def test_a_border_day_without_a_row_in_time(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [("2024-01-01 05:00:00", 1), ("2024-01-02 05:00:00", 2), ("2024-01-02 05:00:01", 3)]
+    df = spark.createDataFrame(rows, "ts string, id int").selectExpr("cast(ts as timestamp_ntz) ts", "id")
+    retention.append_retained(df, path, "ts", 24)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [2, 3]
+
+
 def test_only_undated_rows_and_none(spark, tmp_path):
     path = str(tmp_path / "undated")
     retention.append_retained(spark.sql("SELECT cast(null as timestamp) ts, 1 id"), path, "ts", 1)
