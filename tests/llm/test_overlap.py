@@ -50,6 +50,19 @@ def test_a_large_group_and_texts_of_all_kinds(documents):
     assert sorted(r.doc_id for r in kept.collect()) == plain_kept(pairs)
 
 
+def test_pairs_within_a_shared_template(documents):
+    """Two hundred texts with one template: those of a pair have more in common than the template, all others less."""
+    template = [f"t{i}" for i in range(400)]
+    pairs = []
+    for i in range(100):
+        shared = [f"p{i}x{k}" for k in range(8)]
+        for j in range(2):
+            own = [f"o{i}y{j}z{k}" for k in range(44)]
+            pairs.append((len(pairs), " ".join([*template, *shared, *own])))
+    kept = sorted(r.doc_id for r in overlap.one_of_each_overlap(documents(pairs)).collect())
+    assert kept == plain_kept(pairs) and len(kept) < 150
+
+
 def test_empty_table_and_null_ids(written, documents):
     assert overlap.one_of_each_overlap(documents([])).collect() == []
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "q r s t u v"), (None, "only null ids here now")]

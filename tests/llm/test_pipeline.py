@@ -9,8 +9,8 @@ import corpus_pipeline
 from tallyfold.llm import language, toxicity
 from tallyfold.plans.registry import table
 from test_lines import plain
+from test_overlap import plain_kept
 from test_packing import PATH, packing
-from test_simhash import plain_fingerprint, plain_groups
 
 FOLDER = driver.SMOKE
 
@@ -38,8 +38,7 @@ def test_each_stage_against_a_plain_version(spark):
 
     single = near(spark, cut, FOLDER).cache()
     pairs = sorted((r.doc_id, r.text) for r in cut.collect())
-    groups = plain_groups([plain_fingerprint(t) for _, t in pairs])
-    assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == sorted({pairs[g][0] for g in groups})
+    assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == plain_kept(pairs)
 
     pieces = pack(spark, single, FOLDER).collect()
     encode = packing.encoder(PATH).tokenizer.encode
