@@ -21,6 +21,7 @@ from tallyfold.llm.common import ROW, keyed, runs, small_batches, texts_of
 from tallyfold.llm.tokens import Encoder, encoder
 
 REACH = 3  # characters that the scanner may look ahead of a split: the longest contraction
+SHORT = 48  # characters of a split that the encoder's store keeps
 Split = tuple[int, list[int]]  # characters and ids of what the scanner splits off
 
 
@@ -79,7 +80,13 @@ class Tree:
             width *= 2
 
     def leaf_splits(self, text: str) -> list[Split]:
-        return [(len(x), self.unsplit(x)) for x in self.scan(text)]
+        """What the scanner splits a leaf into; short splits are looked up together."""
+        splits = self.scan(text)
+        short = [x for x in splits if len(x) <= SHORT]
+        ids, sizes = self.encoder.lookup([self.encoder.key(x) for x in short])
+        ends = np.cumsum(sizes).tolist()
+        ids, looked = ids.tolist(), iter(zip([0, *ends], ends, strict=False))
+        return [(len(x), ids[slice(*next(looked))] if len(x) <= SHORT else self.unsplit(x)) for x in splits]
 
     def join(self, left: list[Split], right: list[Split], text: str, start: int, cut: int) -> list[Split]:
         """The splits of two neighbouring parts of ``text``: the left from ``start``, the right from ``cut``.
@@ -189,7 +196,9 @@ def encode(docs: DataFrame, tokenizer: str, long: int = 32_768) -> DataFrame:
 
     near = rows.where(size <= long).select("doc_id", "text").mapInArrow(short, "doc_id long, ids binary")
     schema = f"{ROW} long, doc_id long, number int, part int, leaf int, text string"
-    far = rows.where(size > long).mapInArrow(cut, schema).repartition(ROW, "number")
+    # A number of its own keeps the leaves apart: they are few bytes, but each costs time.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    far = rows.where(size > long).mapInArrow(cut, schema).repartition(tasks, ROW, "number")
     far = far.mapInArrow(leaves, schema + ", sizes array<int>, counts array<int>, ids binary")
     return near.unionByName(far.groupBy(ROW).applyInArrow(joined, "doc_id long, ids binary"))
 

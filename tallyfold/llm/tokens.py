@@ -2,22 +2,30 @@
 
 Both kinds of tokenizer used here never merge across the start of a run of white space, so a text is the
 concatenation of pieces that can be encoded on their own. Pieces repeat: each worker lets the library encode a
-piece once and then looks it up. The store of pieces is bounded, in two generations; what is not in it is
-encoded anew, so its size changes the time only.
+piece once and numbers it. A batch of texts then becomes an array of piece numbers, and its ids are gathered from one array of all
+pieces' ids. The store of pieces is bounded: when it is full, those that came up in one batch only are dropped. What is not in it
+is encoded anew, so its size changes the time only.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 
 from tallyfold.llm.common import single_thread
 
-# Python takes these for white space, the tokenizers do not: such texts are encoded whole.
-_DIFFERENT = re.compile("[\x1c-\x1f]")
 _PIECES = re.compile(r"\s*\S+|\s+")
+# Python takes the first four for white space, the tokenizers do not: such texts are encoded whole.
+_DIFFERENT = "\x1c\x1d\x1e\x1f"
+# What else Python takes for white space, but for the space and the line feed.
+_RARE = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_LATIN = "\u0250"  # the letters below are letters in every version of Unicode
 _KEEP = 48  # longer pieces are not kept
+# How a byte-level vocabulary writes bytes: printable ones as they are, others as characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _WHOLE = "\x1c"  # before a piece that is to be encoded as it stands; no other piece begins so
 
 
@@ -31,11 +39,23 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+class Store(dict):
+    """Numbers pieces in the order in which they come up; ``fresh`` are those without ids as yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.fresh.append(piece)
+        return number
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. ``words``: the tokenizer drops white space.
 
-    A piece of a byte-level text is a space and what follows up to the next space; texts with other runs of
-    spaces are cut by a pattern instead. New pieces are encoded many at a time, with a special token of the
+    A piece of a byte-level text is a space and what follows up to the next space or line feed; texts with other runs of
+    white space are cut by a pattern instead. New pieces are encoded many at a time, with a special token of the
     vocabulary between them, at which the library cuts before all else.
     """
 
@@ -46,44 +66,56 @@ class Encoder:
         self.marks = [t for _, t in special]
         self.first = self.marks[0][:1] if len({m[:1] for m in self.marks}) == 1 else ""  # in any text, if marks differ
         self.mark_id, self.mark = special[-1] if special else (None, None)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.signs = dict(zip(("", ",", "."), self._whole(["", ",", "."]), strict=True))
+        self._empty()
+
+    def _empty(self) -> None:
+        self.store = Store()
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.starts = np.zeros(1 << 14, np.int64)
+        self.sizes = np.zeros(1 << 14, np.int32)
+        self.uses = np.zeros(1 << 14, np.uint8)
+        self.filled = 0
 
     def _batch(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self._batch(texts)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self._batch(texts)]
 
-    def _new(self, pieces: list[str]) -> list[bytes]:
+    def _new(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of pieces without special tokens in them."""
         if self.mark is None:
             return self._whole(pieces)
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         for i in range(0, len(pieces), 512):
-            block = pieces[i : i + 512]
-            ids = np.array(self._batch([self.mark.join(block)])[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            raw, edges = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist(), 4 * len(ids) + 4]
-            out += [raw[a : b - 4] for a, b in zip(edges, edges[1:], strict=False)]
+            ids = np.array(self._batch([self.mark.join(pieces[i : i + 512])])[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
         return out
 
     def pieces(self, text: str) -> list[str]:
         """The text cut into pieces that the library encodes one by one to the same ids.
 
-        Those of a byte-level text lack the space before them, but for the first, which has none and is
-        marked.
+        Those of a byte-level text lack the space before them. A piece without one is marked: the first, and a line feed and
+        what follows it.
         """
-        if _DIFFERENT.search(text):
+        if any(c in text for c in _DIFFERENT):
             return [_WHOLE + text]
         if self.words:
             return text.split()
-        parts = text.split(" ")
-        if "" in parts:
+        # A run of white space is more than one space or line feed, or two line feeds within the text.
+        runs = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n")
+        if runs or any(c in text for c in _RARE) or self._marked(text):
             return [_WHOLE + x for x in _PIECES.findall(text)]
-        parts[0] = _WHOLE + parts[0]
-        return parts
+        return (_WHOLE + text.replace("\n", f" {_WHOLE}\n {_WHOLE}")).split(" ")
+
+    def _marked(self, text: str) -> bool:
+        return self.first in text and any(m in text for m in self.marks)
+
+    def key(self, split: str) -> str:
+        """The piece that stands for what the scanner of a byte-level tokenizer splits off."""
+        return split[1:] if split[0] == " " and split[1:2] != _WHOLE else _WHOLE + split
 
     def _text(self, piece: str) -> str:
         if piece.startswith(_WHOLE):
@@ -94,72 +126,117 @@ class Encoder:
         """The piece in the form it shares with others, and a comma or full stop that ends it.
 
         The scanner splits such a sign off a letter. A words tokenizer lowers letters one by one, as Python does but for
-        the capital sigma. What may become a special token stays as it is.
+        the capital sigma; the dotted capital I becomes two signs. What may become a special token stays as it is.
         """
         if self.words and not piece.islower() and "\u03a3" not in piece and "<" not in piece:
             lowered = piece.lower()
             piece = piece if lowered == piece else lowered
-        return (piece[:-1], piece[-1]) if piece[-1:] in (",", ".") and piece[-2:-1].isalpha() else (piece, "")
-
-    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that are not in the younger store."""
-        older, known = self.older, self.known
-        fresh: dict[str, bytes] = {}
-        new, derived = [], []
-        for p in wanted:
-            ids = older.get(p)
-            if ids is not None:
-                fresh[p] = ids
-            elif (form := self._core(p))[0] is p:
-                new.append(p)
+        ends = piece[-1:] in (",", ".") and piece[-2:-1].isalpha() and piece[-2] != "\u0130"
+        return (piece[:-1], piece[-1]) if ends else (piece, "")
+
+    def _word(self, piece: str) -> bool:
+        """Only letters that the scanner leaves together, and the normaliser as they are but for their case."""
+        return piece.isalpha() and (piece.isascii() or max(piece) < _LATIN)
+
+    def _learn(self) -> None:
+        """Give the pieces that came up for the first time their ids."""
+        store = self.store
+        letters, others, derived = [], [], []
+        for piece in store.fresh:  # grows by the forms that pieces share
+            core, sign = self._core(piece)
+            if core is not piece:
+                derived.append((store[piece], store[core], sign))
+            elif self._word(piece):
+                letters.append(piece)
             else:
-                derived.append((p, *form))
-        cores: dict[str, bytes] = {}
-        for _, core, _ in derived:
-            if core not in cores and core not in wanted:
-                ids = known.get(core) or older.get(core)
-                if ids is None:
-                    new.append(core)
-                cores[core] = ids or b""
-        first = self.first
-        plain = [c for c in new if not (first in c and any(m in c for m in self.marks))]
-        found = dict(zip(plain, self._new([self._text(c) for c in plain]), strict=True))
-        if len(plain) < len(new):
-            marked = [c for c in new if c not in found]
-            found.update(zip(marked, self._whole([self._text(c) for c in marked]), strict=True))
-        fresh.update(found)
-        for p, core, sign in derived:
-            ids = fresh.get(core)
-            if ids is None:
-                ids = cores.get(core)
-            if ids is None:  # a wanted core that is derived itself
-                ids = self._whole([self._text(core)])[0]
-            fresh[p] = ids + self.signs[sign]
-        return fresh
+                others.append(piece)
+        store.fresh = []
+        self.starts, self.sizes, self.uses = (_grown(x, len(store)) for x in (self.starts, self.sizes, self.uses))
+        # The model by itself takes words without the scanner's and the normaliser's work, which leave them as they are.
+        tokenize, before = self.tokenizer.model.tokenize, "" if self.words else "\u0120"
+        found = [[t.id for t in tokenize(before + (p if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN)))] for p in letters]
+        self._add(letters, list(map(len, found)), np.fromiter(chain.from_iterable(found), "<u4"))
+        easy = [c for c in others if not self._marked(c)]
+        marked = [c for c in others if self._marked(c)]
+        for pieces, new in ((easy, self._new([self._text(c) for c in easy])), (marked, self._whole([self._text(c) for c in marked]))):
+            self._add(pieces, list(map(len, new)), np.concatenate([np.zeros(0, "<u4"), *new]))
+        for sign, ids in self.signs.items():
+            own = np.array([(n, core) for n, core, s in derived if s == sign], np.int64).reshape(-1, 2)
+            self._derive(*own.T, ids)
+
+    def _add(self, pieces: list[str], sizes: list[int], ids: np.ndarray) -> None:
+        self._place(np.fromiter(map(self.store.__getitem__, pieces), np.int64, len(pieces)), np.array(sizes, np.int64), ids)
+
+    def _place(self, numbers: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.ids = _grown(self.ids, self.filled + len(ids))
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.sizes[numbers] = sizes
+        self.starts[numbers] = self.filled + np.cumsum(sizes) - sizes
+        self.filled += len(ids)
+
+    def _derive(self, numbers: np.ndarray, cores: np.ndarray, sign: np.ndarray) -> None:
+        """Pieces with the ids of their cores, which have theirs by now, and those of a sign."""
+        held = self.sizes[cores].astype(np.int64)
+        sizes = held + len(sign)
+        at = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), "<u4")
+        ids[_spans(at, held)] = self.ids[_spans(self.starts[cores], held)]
+        for i, value in enumerate(sign.tolist()):
+            ids[at + held + i] = value
+        self._place(numbers, sizes, ids)
+
+    def _forget(self) -> None:
+        """Keep the pieces that came up in two batches or more and are short, half of the store at most."""
+        kept = [p for p, n in self.store.items() if self.uses[n] > 1 and len(p) <= _KEEP][: self.most // 2]
+        at = np.fromiter((self.store[p] for p in kept), np.int64, len(kept))
+        sizes = self.sizes[at]
+        ids = self.ids[_spans(self.starts[at], sizes)]
+        self._empty()
+        self.store.update((p, n) for n, p in enumerate(kept))
+        self.starts, self.sizes, self.uses = (_grown(x, len(kept)) for x in (self.starts, self.sizes, self.uses))
+        self.sizes[: len(kept)] = sizes
+        self.starts[: len(kept)] = np.cumsum(sizes) - sizes
+        self.ids, self.filled = _grown(self.ids, len(ids)), len(ids)
+        self.ids[: len(ids)] = ids
+
+    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
+        if len(self.store) > self.most:
+            self._forget()
+        numbers = np.fromiter(map(self.store.__getitem__, pieces), np.int64, len(pieces))
+        if self.store.fresh:
+            self._learn()
+        self.uses[numbers] = np.minimum(self.uses[numbers], 254) + 1
+        sizes = self.sizes[numbers]
+        return self.ids[_spans(self.starts[numbers], sizes)], sizes
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text."""
         cut = [self.pieces(text) for text in texts]
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in cut]
-        holes = [i for i, ids in enumerate(found) if None in ids]
-        if holes:
-            wanted: set[str] = set()
-            for i in holes:
-                wanted.update([p for p, ids in zip(cut[i], found[i], strict=True) if ids is None])
-            fresh = self._learn(wanted)
-            for i in holes:
-                found[i] = [fresh[p] if ids is None else ids for p, ids in zip(cut[i], found[i], strict=True)]
-            if len(self.known) > self.most:
-                self.older, self.known = self.known, {}
-            self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= _KEEP)
-        return list(map(b"".join, found))
+        ids, sizes = self.lookup(list(chain.from_iterable(cut)))
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum([0, *map(len, cut)])] * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of every span, one span after the other."""
+    before = np.cumsum(sizes, dtype=np.int64) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def _grown(column: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(column):
+        return column
+    out = np.zeros(max(size, len(column) * 3 // 2), column.dtype)
+    out[: len(column)] = column
+    return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, words: bool = False, most: int = 150_000) -> Encoder:
+def encoder(path: str, words: bool = False, most: int = 400_000) -> Encoder:
     """This worker's encoder: one for all tasks that it runs."""
     if (path, words) not in _ENCODERS:
         _ENCODERS[path, words] = Encoder(path, words, most)
