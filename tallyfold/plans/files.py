@@ -14,7 +14,7 @@ from tallyfold.operators import shape
 from tallyfold.plans.match import PAIR_SQL
 from tallyfold.plans.registry import query, table
 from tallyfold.session import shared_folder
-from tallyfold.sources import access_log, delimited, properties, sql_script, stored, tables
+from tallyfold.sources import access_log, delimited, properties, route, sql_script, stored, tables
 from tallyfold.sources import retention as retained
 from tallyfold.streaming import files, growing
 from tallyfold.streaming import sequence as stream_sequence
@@ -28,17 +28,14 @@ def load_psv(spark: SparkSession, folder: str) -> DataFrame:
     return delimited.load_delimited(spark, path, customer.schema)
 
 
-@query("""
-    SELECT doc_id, replace(replace(text, chr(10), ' '), chr(13), '') AS text, lang, n_chars FROM documents
-""")
+@query("SELECT doc_id, replace(text, chr(13), '') AS text, lang, source, n_chars FROM documents")
 def load_csv_quoted(spark: SparkSession, folder: str) -> DataFrame:
-    """Free text with commas, quotes and line breaks, CRs inside and at line ends; breaks become blanks after loading."""
+    """Free text with commas, quotes and line breaks, as it is but for CRs, which stand at line ends too."""
     documents = table(spark, folder, "documents")
     path = shared_folder(spark, "documents") + ".csv"
     line_end = documents.withColumn("n_chars", F.concat("n_chars", F.lit("\r")))
     delimited.write_delimited(line_end, path, quoted_breaks=True)
-    loaded = delimited.load_delimited(spark, path, documents.schema, quoted_breaks=True)
-    return loaded.select("doc_id", F.translate("text", "\n", " ").alias("text"), "lang", "n_chars")
+    return delimited.load_delimited(spark, path, documents.schema, quoted_breaks=True)
 
 
 _RESCUE_SQL = """
@@ -326,6 +323,37 @@ def run_sql(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT n_name, count(*) AS n, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS in_credit
+    FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name
+""")
+def run_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder with scripts, one of them with a block, and the data they are about, by one entry; appended, then asked about."""
+    base = shared_folder(spark, "work")
+    customer, nation = table(spark, folder, "customer"), table(spark, folder, "nation")
+    suffix = base.rsplit("-", 1)[-1]
+    names = {t: f"{t}_{suffix}" for t in ("customer", "nation")}
+    script = f"""
+        -- tables for what lies beside this file; the mark ';' may stand in quotes
+        BEGIN
+            IF 1 < 2 THEN
+                CREATE TABLE {names["customer"]} (c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE) USING parquet
+                    COMMENT 'who buys; BEGIN' LOCATION '{base}-customer';
+            END IF;
+            CREATE TABLE {names["nation"]} (n_nationkey INT, n_name STRING) USING parquet LOCATION '{base}-nation';
+            SELECT CASE WHEN true THEN 1 END;
+        END;
+        CREATE OR REPLACE TEMPORARY VIEW report_{suffix} AS
+            SELECT n_name, count(*) AS n, sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS in_credit
+            FROM {names["customer"]} JOIN {names["nation"]} ON c_nationkey = n_nationkey GROUP BY n_name;
+    """
+    spark.createDataFrame([(script,)], "value string").coalesce(1).write.text(f"{base}/a-first.sql")
+    delimited.write_delimited(customer.select("c_custkey", "c_name", "c_nationkey", "c_acctbal"), f"{base}/deep/{names['customer']}.psv")
+    nation.select("n_nationkey", "n_name").write.option("header", "false").csv(f"{base}/{names['nation']}")
+    route.execute_into_tables(spark, base)
+    return route.execute(spark, f"SELECT * FROM report_{suffix}; -- the report")[0]
+
+
 _LINE = ("event_id", "user_id", "event_type")
 _LINE_SQL = "event_id || '|' || user_id || '|' || event_type"
 

@@ -148,19 +148,24 @@ def write_delimited(df: DataFrame, path: str, sep: str | None = None, quoted_bre
     ).csv(path)
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every file below ``folder`` with its suffix and the table it loads into. File contents are not read.
+def _own_path() -> Column:
+    """The path of the file that a row comes from; Spark leaves out files that a condition on it excludes."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
 
-    The parts of a data set that Spark wrote count under the name of their folder.
-    """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    named = F.regexp_replace("path", r"/part-\d[^/]*$", "")
-    return found.select("path", path_suffix(named).alias("suffix"), table_name(named).alias("table"))
 
+def _kind(path: Column) -> tuple[Column, Column]:
+    """The suffix and the table of a file. Parts of a data set that Spark wrote go by the name of their folder, and by
+    their own suffix if the folder has none."""
+    folder = F.regexp_replace(path, r"/part-\d[^/]*$", "")
+    bare = ~F.contains(F.element_at(F.split(folder, "/"), -1), F.lit("."))
+    return path_suffix(F.when(bare, path).otherwise(folder)), table_name(folder)
 
-def literal_path(path: str) -> str:
-    """A path whose glob signs are taken literally."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file below ``folder`` with its suffix and the table it loads into. File contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(_own_path().alias("path"))
+    suffix, table = _kind(F.col("path"))
+    return found.select("path", suffix.alias("suffix"), table.alias("table"))
 
 
 def load_folder(
@@ -169,29 +174,35 @@ def load_folder(
     """Load a folder, subfolders included: ``.sql`` files are run in path order, others become tables.
 
     The schema of a table is taken from ``schemas``, else from the catalog's table of that name, which a
-    script of the same folder may have created. Files of one name and kind are read together. Only the
-    list of file names reaches the driver, which the reader needs there anyway.
+    script of the same folder may have created. A table is read as a whole for each of its separators: Spark lists the folder and
+    leaves out the files of other tables. Only scripts, and the names of tables, reach the driver.
     """
-    files = list_files(spark, folder).orderBy("path").collect()
-    scripts = [f.path for f in files if f.suffix == "sql"]
+    files = list_files(spark, folder)
+    scripts = [f.path for f in files.where("suffix = 'sql'").orderBy("path").collect()]
     if scripts:
-        run_sql(spark, scripts)
-    groups: dict[tuple[str, str], list[str]] = {}
-    for f in files:
-        if f.suffix != "sql":
-            groups.setdefault((f.table, SEPARATORS.get(f.suffix, OTHER_SEPARATOR)), []).append(literal_path(f.path))
+        run_sql(spark, [literal_path(s) for s in scripts])
+    suffixes = F.when(F.col("suffix").isin(*SEPARATORS), F.col("suffix")).otherwise("")
+    kinds = files.where("suffix <> 'sql'").select("table", suffixes.alias("suffix")).distinct().orderBy("table", "suffix").collect()
     known = dict(schemas or {})
-    for table in sorted({table for table, _ in groups} - set(known)):
+    for table in sorted({k.table for k in kinds} - set(known)):
         if not spark.catalog.tableExists(f"`{table}`"):
             raise KeyError(f"no schema for {table}")
         known[table] = spark.table(f"`{table}`").schema
     tables: dict[str, DataFrame] = {}
-    for (table, sep), paths in groups.items():
-        loaded = load_delimited(spark, paths, known[table], sep)
-        tables[table] = tables[table].unionByName(loaded) if table in tables else loaded
+    for kind in kinds:
+        loaded = _load_kind(spark, folder, kind.table, kind.suffix, known[kind.table])
+        tables[kind.table] = tables[kind.table].unionByName(loaded) if kind.table in tables else loaded
     return tables
 
 
+def _load_kind(spark: SparkSession, folder: str, table: str, suffix: str, schema: T.StructType) -> DataFrame:
+    reader = spark.read.schema(text_schema(schema)).option("recursiveFileLookup", "true")
+    own, name = _kind(_own_path())
+    kind = own == suffix if suffix else ~own.isin(*SEPARATORS, "sql")
+    rows = reader.options(**read_options(SEPARATORS.get(suffix, OTHER_SEPARATOR))).csv(folder)
+    return rows.where((name == table) & kind).select(*typed_columns(schema))
+
+
 def load_folder_into_tables(spark: SparkSession, folder: str) -> list[str]:
     """Load a folder and append what it holds to the catalog's tables; returns the names of the tables."""
     loaded = load_folder(spark, folder)
@@ -200,6 +211,11 @@ def load_folder_into_tables(spark: SparkSession, folder: str) -> list[str]:
     return sorted(loaded)
 
 
+def literal_path(path: str) -> str:
+    """A path whose glob signs are taken literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of plain or compressed text (gz, bz2, deflate, zst by suffix), one column ``value``.
 
