@@ -11,7 +11,8 @@ ANCHOR = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*|(?<=[=\s]
 LINK_CELL = r"""(?is)<td[^>]*?\bclass\s*=\s*["']?link\b[^>]*>\s*""" + ANCHOR
 SIZE_CELL = r"""(?is)<td[^>]*?\bclass\s*=\s*["']?size\b[^>]*>([^<]*)</td>"""
 DATE_CELL = r"""(?is)<td[^>]*?\bclass\s*=\s*["']?date\b[^>]*>([^<]*)</td>"""
-ROW = r"(?is)<tr\b.*?(?=<tr\b|</table|$)"
+ROW = r"(?i)<tr\b"
+TABLE_END = r"(?i)</table"
 TAG = r"<[^>]*>"
 PARENT = "parent"
 
@@ -45,7 +46,9 @@ def extract_listing(pages: DataFrame, base: str, html: str) -> DataFrame:
     Cells belong to the table row that they stand in; one that a row lacks is null.
     """
     keep = [c for c in pages.columns if c != html]
-    rows = pages.select(*keep, F.explode(F.regexp_extract_all(F.col(html), F.lit(ROW), 0)).alias("_row"))
+    parts = F.split(F.col(html), ROW)
+    rows = pages.select(*keep, F.explode(F.slice(parts, 2, F.size(parts))).alias("_row"))
+    rows = rows.withColumn("_row", F.get(F.split("_row", TABLE_END, 2), F.lit(0)))
 
     def found(pattern: str, group: int) -> Column:
         return F.get(F.regexp_extract_all("_row", F.lit(pattern), group), F.lit(0))

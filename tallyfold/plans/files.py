@@ -14,7 +14,7 @@ from tallyfold.operators import shape
 from tallyfold.plans.match import PAIR_SQL
 from tallyfold.plans.registry import query, table
 from tallyfold.session import shared_folder
-from tallyfold.sources import access_log, delimited, properties, route, sql_script, stored, tables
+from tallyfold.sources import access_log, delimited, dump, properties, route, sql_script, stored, tables
 from tallyfold.sources import retention as retained
 from tallyfold.streaming import files, growing
 from tallyfold.streaming import sequence as stream_sequence
@@ -100,28 +100,51 @@ def gzip_text(spark: SparkSession, folder: str) -> DataFrame:
     SELECT 'customer', 2, 'INSERT IGNORE INTO customer VALUES (' || c_custkey || ',''' || c_name || ''',' || c_nationkey
         || ',' || c_acctbal || ',''' || c_mktsegment || ''');' FROM customer
     UNION ALL
-    SELECT 'documents', 1, 'DROP TABLE IF EXISTS documents; CREATE TABLE documents (doc_id bigint, text string);'
+    SELECT 'documents', 1, 'DROP TABLE IF EXISTS documents; CREATE TABLE documents ('
+        || 'doc_id bigint, text string, lang string, source string, n_chars bigint);'
     UNION ALL
     SELECT 'documents', 2, 'INSERT IGNORE INTO documents VALUES (' || doc_id || ','''
         || replace(replace(replace(replace(text, '\', '\\'), '''', '\'''), chr(10), '\n'), chr(13), '\r')
-        || ''');'
+        || ''',''' || lang || ''',''' || source || ''',' || n_chars || ');'
     FROM documents
 """)
 def dump_sql(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "dump")
     dumped = {
         "customer": table(spark, folder, "customer"),
-        "documents": table(spark, folder, "documents").select("doc_id", "text"),
+        "documents": table(spark, folder, "documents"),
     }
-    delimited.dump_tables(dumped, out)
+    dump.dump_tables(dumped, out)
     lines = spark.read.schema("value string, table string, section int").option("lineSep", "\n").text(out)
     return lines.select("table", "section", F.col("value").alias("line"))
 
 
+_DUMPED = ("customer", "documents", "embeddings", "events", "labels", "nation", "orders", "part")
+_DUMPED_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS n, sum({key})::BIGINT AS keys FROM {t}"
+    for t, key in zip(_DUMPED, ("c_custkey", "doc_id", "vec_id", "event_id", "doc_id", "n_nationkey", "o_orderkey", "p_partkey"), strict=True)
+)
+
+
+@query(_DUMPED_SQL)
+def dump_database(spark: SparkSession, folder: str) -> DataFrame:
+    """A database with all columns of its tables, dumped in the dialect that others load; read back are a row's table and key."""
+    base = shared_folder(spark, "database")
+    name = base.rsplit("/", 1)[-1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{base}'")
+    for t in _DUMPED:
+        table(spark, folder, t).write.saveAsTable(f"{name}.{t}")
+    out = shared_folder(spark, "dump")
+    dump.dump_database(spark, name, out)
+    lines = spark.read.schema("value string, table string, section int").option("lineSep", "\n").text(out).where("section = 2")
+    row = F.regexp_extract("value", r'^INSERT INTO "(\w+)" VALUES \((-?\d+),.*\);$', 2).cast("long")
+    return lines.groupBy(F.col("table").alias("name")).agg(F.count("*").alias("n"), F.sum(row).alias("keys"))
+
+
 @query("SELECT * FROM supplier")
 def dump_parquet(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "dump")
-    delimited.dump_tables({"supplier": table(spark, folder, "supplier")}, out, fmt="parquet")
+    dump.dump_tables({"supplier": table(spark, folder, "supplier")}, out, fmt="parquet")
     return spark.read.parquet(f"{out}/supplier")
 
 
@@ -413,7 +436,7 @@ def tail_growing(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT count(*) AS matches FROM events WHERE event_type = 'error' OR event_type = 'view'")
 def stream_match_count(spark: SparkSession, folder: str) -> DataFrame:
     out = shared_folder(spark, "totals")
-    lines = files.tail_text(spark, _event_lines(spark, folder))
+    lines = files.tail_text(spark, _event_lines(spark, folder), 100)
     running = files.stream_match_count(lines, "value", "ERROR|view", "signup")
     files.drain_totals(running, out, shared_folder(spark, "position"))
     return spark.read.parquet(out)

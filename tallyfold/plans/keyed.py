@@ -43,7 +43,7 @@ def latest_by_key(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
     WITH newest AS (
         SELECT o_custkey AS k, 'order' AS origin, arg_max(o_totalprice, o_orderkey) AS amount
-        FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY o_custkey)
+        FROM orders GROUP BY o_custkey)
     SELECT * FROM newest
     UNION ALL
     SELECT c_custkey, 'customer', c_acctbal FROM customer
@@ -53,8 +53,7 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
     base = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("k"), F.lit("customer").alias("origin"), F.col("c_acctbal").alias("amount")
     )
-    urgent = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
-    changes = urgent.select(
+    changes = table(spark, folder, "orders").select(
         F.col("o_custkey").alias("k"),
         F.lit("order").alias("origin"),
         F.col("o_totalprice").alias("amount"),
@@ -66,12 +65,12 @@ def upsert(spark: SparkSession, folder: str) -> DataFrame:
 @query("""
     SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
            arg_max(value, event_id) AS value
-    FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id
+    FROM events GROUP BY user_id
 """)
 def upsert_versioned(spark: SparkSession, folder: str) -> DataFrame:
-    """Sign-ups as they stand, then purchases, some of them older than the sign-up they meet."""
+    """All other events as they stand, then purchases, some of them older than the event they meet."""
     events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "value")
-    base = keyed.latest_by_key(events.where("event_type = 'signup'"), "user_id", "event_id")
+    base = keyed.latest_by_key(events.where("event_type <> 'purchase' OR event_type IS NULL"), "user_id", "event_id")
     return keyed.upsert(base, events.where("event_type = 'purchase'"), "user_id", "event_id")
 
 

@@ -222,52 +222,3 @@ def read_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Plain and bz2 files are split over tasks; a file in another codec is read by one task.
     """
     return spark.read.option("lineSep", "\n").text(path)
-
-
-def dump_lines(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Tables as SQL text, rows ``(table, section, line)``; section 1 recreates a table, section 2 fills it."""
-    parts = [part for name, df in tables.items() for part in (_head_lines(name, df), _row_lines(name, df))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _head_lines(name: str, df: DataFrame) -> DataFrame:
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    lines = [(name, 1, f"DROP TABLE IF EXISTS {name}; CREATE TABLE {name} ({fields});")]
-    return df.sparkSession.createDataFrame(lines, "table string, section int, line string")
-
-
-def _row_lines(name: str, df: DataFrame) -> DataFrame:
-    values = F.concat_ws(",", *[_literal(df[f.name], f.dataType) for f in df.schema])
-    line = F.concat(F.lit(f"INSERT IGNORE INTO {name} VALUES ("), values, F.lit(");"))
-    return df.select(F.lit(name).alias("table"), F.lit(2).alias("section"), line.alias("line"))
-
-
-def _literal(value: Column, data_type: T.DataType) -> Column:
-    if isinstance(data_type, (T.NumericType, T.BooleanType)):
-        text = value.cast("string")
-    elif isinstance(data_type, T.BinaryType):
-        text = F.concat(F.lit("X'"), F.hex(value), F.lit("'"))
-    else:
-        # A dump is read line by line, so a line break inside a value is written as an escape.
-        text = value.cast("string")
-        for plain, escaped in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r")):
-            text = F.replace(text, F.lit(plain), F.lit(escaped))
-        text = F.concat(F.lit("'"), text, F.lit("'"))
-    return F.coalesce(text, F.lit("NULL"))
-
-
-def dump_tables(tables: Mapping[str, DataFrame], out: str, fmt: str = "sql") -> None:
-    """Dump every table below ``out``: as SQL text in ``table=/section=`` folders, or as Parquet.
-
-    Read in path order the text recreates each table before it fills it. One job writes all tables.
-    """
-    if fmt == "sql":
-        dump_lines(tables).write.mode("overwrite").partitionBy("table", "section").text(out)
-    elif fmt == "parquet":
-        for name, df in tables.items():
-            df.write.mode("overwrite").option("compression", "gzip").parquet(f"{out.rstrip('/')}/{name}")
-    else:
-        raise ValueError("fmt is 'sql' or 'parquet'")

@@ -60,7 +60,7 @@ def replace_rows(spark: SparkSession, name: str, rows: DataFrame) -> None:
 
 
 def retained(df: DataFrame, ts: str, keep_hours: int = 168) -> DataFrame:
-    """Rows no older than ``keep_hours`` before the newest one.
+    """Rows no older than ``keep_hours`` before the newest one; rows without a time are left out.
 
     The newest time is a scalar subquery; the comparison is pushed down to the scan.
     """

@@ -114,27 +114,29 @@ def match_sequence_stream(
     pattern: Sequence[str],
     delay: str,
     slice_seconds: int = 3600,
+    groups: int = 16,
     riding: int = 256,
 ) -> DataFrame:
     """The batch matcher's rows for a stream: ``key, start_ts, end_ts, start_id, end_id``.
 
     ``ts`` is a timestamp; events more than ``delay`` behind the newest one are dropped. A match comes out
     once the watermark has passed the time slice of its last event. A windowed aggregate gathers the events of one
-    key and slice and is dropped when the slice is over; built-in functions put them in order and match them. So
-    ``slice_seconds`` bounds what is held of a key: make it short where keys are busy. Only the rows at the
+    slice and of one of ``groups`` groups of keys, and is dropped when the slice is over; built-in functions put them in order
+    and match them. So ``slice_seconds`` bounds what is held: make it short where keys are busy. Only the rows at the
     slices' edges go on to a processor that joins them up by key, along with up to ``riding`` settled matches of a
-    key and slice; more of them go on as a group of their own. Start the query under ``state_settings``.
+    group and slice; more of them go on as groups of their own. Start the query under ``state_settings``.
     """
     known = F.col(ts).isNotNull() & F.col(key).isNotNull()
     slim = events.withWatermark(ts, delay).where(known)
-    event = F.struct(F.unix_micros(ts).alias("us"), F.col(order).cast("bigint").alias("id"), F.col(kind).alias("kind"))
+    event = F.struct(F.col(key).alias("key"), F.unix_micros(ts).alias("us"), F.col(order).cast("bigint").alias("id"), F.col(kind).alias("kind"))
     key_type = slim.schema[key].dataType
-    slices = slim.groupBy(F.window(ts, f"{slice_seconds} seconds"), F.col(key).alias("key")).agg(F.array_sort(F.collect_list(event)).alias("line"))
-    sliced = slices.select("key", F.unix_micros("window.start").alias("slice"), F.filter(_matched(pattern), lambda e: e["edge"] | e["hit"]).alias("rows"))
+    gathered = slim.groupBy(F.window(ts, f"{slice_seconds} seconds"), F.pmod(F.hash(key), F.lit(groups)).alias("group"))
+    slices = gathered.agg(F.array_sort(F.collect_list(event)).alias("line"))
+    sliced = slices.select(F.unix_micros("window.start").alias("slice"), F.filter(_matched(pattern), lambda e: e["edge"] | e["hit"]).alias("rows"))
     few = F.size(F.filter("rows", lambda e: e["hit"])) <= riding
-    rows = sliced.select("key", "slice", few.alias("few"), F.explode("rows").alias("e"))
+    rows = sliced.select("slice", few.alias("few"), F.explode("rows").alias("e"))
     part = F.when(F.col("e.edge") | F.col("few"), _EDGES).otherwise(F.col("slice")).alias("part")
-    matches = rows.select("key", part, "e.*").groupBy("key", "part").transformWithStateInPandas(
+    matches = rows.select(part, "e.*").groupBy("key", "part").transformWithStateInPandas(
         statefulProcessor=EdgeMatcher(pattern),
         outputStructType=T.StructType([T.StructField("key", key_type), *_longs(*_FOUND)]),
         outputMode="Append",
@@ -150,20 +152,23 @@ def match_sequence_stream(
 
 
 def _matched(pattern: Sequence[str]) -> Column:
-    """The events of ``line`` with what the line itself says: is a match settled here, is there one, where does it end, may a neighbouring slice matter."""
+    """The events of ``line``, in order of key and time, with what it says of each: are all events that a match starting here needs
+    in the line, is there a match, where does it end, may a neighbouring slice matter."""
     steps = len(pattern) - 1
 
     def look(event: Column, i: Column) -> Column:
-        settled = i < F.size("line") - steps
+        end = F.get("line", i + steps)
+        settled = F.coalesce(end["key"] == event["key"], F.lit(False))
+        first = ~F.coalesce(F.get("line", i - steps)["key"] == event["key"], F.lit(False))
         fits = settled
         for j, kind in enumerate(pattern):
             fits = fits & F.coalesce(F.get("line", i + j)["kind"] == kind, F.lit(False))
-        end = F.get("line", i + steps)
         return F.struct(
+            event["key"].alias("key"),
             *(event[n].alias(n) for n in _EVENT),
             settled.alias("settled"),
             fits.alias("hit"),
-            ((i < steps) | ~settled).alias("edge"),
+            ((first if steps else F.lit(False)) | ~settled).alias("edge"),
             *(end[n].alias(f"end_{n}") for n in ("us", "id")),
         )
 

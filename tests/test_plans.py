@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from oracle import duck, rows_of, rows_of_sql
-from tallyfold.operators import keyed, match, templates
+from tallyfold.operators import aggregate, keyed, match, stats, templates
 from tallyfold.plans import registry
 
 QUERIES = {n: run for n, run in driver.queries().items() if n in registry.QUERIES}
@@ -104,3 +105,16 @@ def test_a_hot_key_in_a_join_is_split(spark, tmp_path, case):
 def test_scans_read_only_what_is_asked(spark):
     plan = QUERIES["agg_key_merge"](spark, driver.SMOKE)._jdf.queryExecution().executedPlan().toString()
     assert "ts:" not in plan
+
+
+def test_exact_distinct_counts_take_one_scan_and_send_no_text(spark):
+    source = registry.table(spark, driver.SMOKE, "orders")
+    counts = stats._distinct_counts(source, ["o_orderstatus"], ["o_orderpriority", "o_custkey", "o_orderdate"])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    lines = [line for line in plan.split("\n") if "Exchange" in line]
+    assert lines and not any("o_orderpriority" in line for line in lines)
+    matching = aggregate.distinct_match_count(registry.table(spark, driver.SMOKE, "documents"), "text", "a")
+    plan = matching._jdf.queryExecution().executedPlan().toString()
+    hashes = re.findall(r"hashpartitioning\(([^)]*)", plan)
+    assert hashes and not any("text" in h for h in hashes)

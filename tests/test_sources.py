@@ -7,7 +7,7 @@ import gzip
 import pytest
 from pyspark.sql import types as T
 
-from tallyfold.sources import access_log, delimited, properties, sql_script, tables
+from tallyfold.sources import access_log, delimited, dump, properties, sql_script, tables
 
 PERSON = T.StructType().add("id", "integer").add("name", "string").add("score", "double").add("born", "date")
 
@@ -86,7 +86,7 @@ def test_compressed_text(spark, rows, tmp_path):
 
 def test_dump_can_be_replayed(spark, rows, tmp_path):
     df = spark.createDataFrame([(1, "it's; a \\ \n b"), (2, None)], "id int, note string")
-    delimited.dump_tables({"notes": df}, str(tmp_path / "d"))
+    dump.dump_tables({"notes": df}, str(tmp_path / "d"))
     lines = sorted(p.read_text() for p in (tmp_path / "d").rglob("*.txt"))
     statements = sql_script.split_statements("\n".join(lines))
     assert statements[:2] == ["DROP TABLE IF EXISTS notes", "CREATE TABLE notes (id int, note string)"]
