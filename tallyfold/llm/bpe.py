@@ -21,6 +21,7 @@ from tallyfold.llm.common import ROW, keyed, runs, small_batches, texts_of
 from tallyfold.llm.tokens import Encoder, encoder
 
 REACH = 3  # characters that the scanner may look ahead of a split: the longest contraction
+STORE = 200_000  # pieces that a worker keeps, which also holds whole texts as splits
 SHORT = 48  # characters of a split that the encoder's store keeps
 Split = tuple[int, list[int]]  # characters and ids of what the scanner splits off
 
@@ -30,7 +31,7 @@ def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id: the vocabulary writes each byte as one printable character."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     shown = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    tokenizer = encoder(path).tokenizer
+    tokenizer = encoder(path, most=STORE).tokenizer
     special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     out = [b""] * tokenizer.get_vocab_size(with_added_tokens=True)
     for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
@@ -42,7 +43,7 @@ class Tree:
     """Tree concatenation with one tokenizer."""
 
     def __init__(self, path: str, leaf: int = 1024):
-        self.encoder: Encoder = encoder(path)
+        self.encoder: Encoder = encoder(path, most=STORE)
         self.tokenizer, self.bytes, self.leaf = self.encoder.tokenizer, token_bytes(path), leaf
 
     def _ids(self, text: str) -> list[int]:
@@ -153,7 +154,7 @@ def encode(docs: DataFrame, tokenizer: str, long: int = 32_768) -> DataFrame:
     size = F.length("text")
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, most=STORE)
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in runs(texts, 1 << 20):
@@ -161,7 +162,7 @@ def encode(docs: DataFrame, tokenizer: str, long: int = 32_768) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids], names=["doc_id", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = "|".join(map(re.escape, sorted(encoder(tokenizer).marks, key=len, reverse=True))) or "(?!)"
+        marks = "|".join(map(re.escape, sorted(encoder(tokenizer, most=STORE).marks, key=len, reverse=True))) or "(?!)"
         for batch in batches:
             for row, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 # even places: text, cut into leaves; odd places: special tokens

@@ -135,27 +135,37 @@ class Encoder:
         return (piece[:-1], piece[-1]) if ends else (piece, "")
 
     def _word(self, piece: str) -> bool:
-        """Only letters that the scanner leaves together, and the normaliser as they are but for their case."""
+        """Only letters, which the scanner leaves together and the normaliser as they are but for their case."""
         return piece.isalpha() and (piece.isascii() or max(piece) < _LATIN)
 
+    def _model_text(self, piece: str) -> str:
+        """A word as the model takes it: for byte-level vocabularies with the sign for a space before it, if there is one."""
+        before = "" if self.words else "\u0120"
+        if piece[0] == _WHOLE:
+            before, piece = "", piece[1:]
+        return before + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN))
+
     def _learn(self) -> None:
         """Give the pieces that came up for the first time their ids."""
         store = self.store
         letters, others, derived = [], [], []
         for piece in store.fresh:  # grows by the forms that pieces share
+            if self._word(piece) and (not self.words or piece.islower()):
+                letters.append(piece)
+                continue
             core, sign = self._core(piece)
             if core is not piece:
                 derived.append((store[piece], store[core], sign))
-            elif self._word(piece):
+            elif piece[:1] == _WHOLE and self._word(piece[1:]):
                 letters.append(piece)
             else:
                 others.append(piece)
         store.fresh = []
         self.starts, self.sizes, self.uses = (_grown(x, len(store)) for x in (self.starts, self.sizes, self.uses))
         # The model by itself takes words without the scanner's and the normaliser's work, which leave them as they are.
-        tokenize, before = self.tokenizer.model.tokenize, "" if self.words else "\u0120"
-        found = [[t.id for t in tokenize(before + (p if p.isascii() else p.encode().decode("latin-1").translate(_SHOWN)))] for p in letters]
-        self._add(letters, list(map(len, found)), np.fromiter(chain.from_iterable(found), "<u4"))
+        tokenize = self.tokenizer.model.tokenize
+        found = list(map(tokenize, map(self._model_text, letters)))
+        self._add(letters, list(map(len, found)), np.fromiter([t.id for tokens in found for t in tokens], "<u4"))
         easy = [c for c in others if not self._marked(c)]
         marked = [c for c in others if self._marked(c)]
         for pieces, new in ((easy, self._new([self._text(c) for c in easy])), (marked, self._whole([self._text(c) for c in marked]))):
@@ -236,7 +246,7 @@ def _grown(column: np.ndarray, size: int) -> np.ndarray:
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str, words: bool = False, most: int = 400_000) -> Encoder:
+def encoder(path: str, words: bool = False, most: int = 600_000) -> Encoder:
     """This worker's encoder: one for all tasks that it runs."""
     if (path, words) not in _ENCODERS:
         _ENCODERS[path, words] = Encoder(path, words, most)
