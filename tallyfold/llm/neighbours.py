@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import saved, small_batches
+from tallyfold.llm.common import ROW, keyed, saved, small_batches
 
 
 @dataclass
@@ -113,28 +113,28 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest scores, ties to smaller ids."""
+def best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest scores, ties to smaller ids, then to earlier rows."""
     near = np.flatnonzero(scores <= np.partition(scores, k - 1)[k - 1]) if len(scores) > k else np.arange(len(scores))
-    return near[np.lexsort((ids[near], scores[near]))][:k]
+    return near[np.lexsort((rows[near], ids[near], scores[near]))][:k]
 
 
 def top(df: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query").orderBy("score", "vec_id", "row")
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, row long, vec_id long, score double"
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95, sample: int = 20_000, trials: int = 128, leaf: int = 256, block: int = 4096
+    vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.97, sample: int = 20_000, trials: int = 128, leaf: int = 256, block: int = 4096
 ) -> DataFrame:
     """The ``k`` nearest other vectors of each query by Euclidean distance: ``query_id, rank, vec_id, score``.
 
     ``vectors`` has ``vec_id, embedding``. Null ids, and vectors that are null, zero, of another length than most, or
-    hold a null or non-finite number, take no part. Ties go to smaller ids. Fewer than ``k`` others: all of them. Rows
-    that repeat an id are vectors of their own. Of equal vectors only the ``k + 1`` smallest ids can be
+    hold a null or non-finite number, take no part. Ties go to smaller ids, then to earlier rows. Fewer than ``k`` others: all of
+    them. Rows that repeat an id are vectors of their own, as queries too. Of equal vectors only the ``k + 1`` smallest ids can be
     among the nearest, so the index keeps these; a vector that fills a third of the table costs no more than any other.
 
     The tree grows on about ``sample`` vectors, chosen by hash, down to leaves of some ``leaf`` vectors of the table,
@@ -144,17 +144,17 @@ def nearest(
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
+    rows = keyed(vectors, vec_id=F.col("vec_id").cast("long"), vector=F.col("embedding").cast("array<double>"), asks=is_query)
+    rows = rows.withColumnRenamed(ROW, "row").where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
     if lengths is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("vector") == lengths.n)
-    within = Window.partitionBy("vector").orderBy("vec_id")
-    kept = rows.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1).drop("nth")
-    kept = saved(kept, "vectors")
+    rows = saved(rows.where(F.size("vector") == lengths.n), "vectors")
+    within = Window.partitionBy("vector").orderBy("vec_id", "row")
+    kept = rows.withColumn("nth", F.row_number().over(within)).where(F.col("nth") <= k + 1).select("row", "vec_id", "vector")
+    kept = saved(kept, "index")
     total = kept.count()
-    by_hash = F.pmod(F.xxhash64("vec_id", F.lit("tree")), F.lit(1 << 30))
+    by_hash = F.pmod(F.xxhash64("vec_id", "row", F.lit("tree")), F.lit(1 << 30))
     share = min(1.0, sample / total)
     picked = np.array([r.vector for r in kept.where(by_hash < int(share * (1 << 30)) + 1).select("vector").collect()], float).reshape(-1, lengths.n)
     tree = Tree.grow(picked, max(4, int(leaf * share)))
@@ -162,16 +162,16 @@ def nearest(
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = pa.array(shared.value.place(matrix(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, leaves], names=["vec_id", "vector", "leaf"])
+            leaves = pa.array(shared.value.place(matrix(batch.column(2))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, leaves], names=["row", "vec_id", "vector", "leaf"])
 
-    index = saved(kept.mapInArrow(place, "vec_id long, vector array<double>, leaf long"), "leaves")
+    index = saved(kept.mapInArrow(place, "row long, vec_id long, vector array<double>, leaf long"), "leaves")
     sizes = {r.leaf: r.rows for r in index.groupBy("leaf").agg(F.count("*").alias("rows")).collect()}  # as many as leaves
 
     trial_share = min(1.0, trials / total)
-    trial = F.pmod(F.xxhash64("vec_id", F.lit("trial")), F.lit(1 << 30)) < int(trial_share * (1 << 30)) + 1
+    trial = F.pmod(F.xxhash64("vec_id", "row", F.lit("trial")), F.lit(1 << 30)) < int(trial_share * (1 << 30)) + 1
     tried = kept.where(trial).collect()
-    visits = _calibrate(index, tree, [r.vec_id for r in tried], np.array([r.vector for r in tried], float), k, recall) if tried else tree.leaves
+    visits = _calibrate(index, tree, [r.row for r in tried], np.array([r.vector for r in tried], float), k, recall) if tried else tree.leaves
     # Neighbouring leaves are searched together, up to about ``block`` vectors; a larger leaf is split in parts.
     shards, parts, filled = {}, {}, block
     for n in range(tree.leaves):
@@ -179,13 +179,13 @@ def nearest(
             parts[len(parts)], filled = 1, 0
         shards[n], filled = len(parts) - 1, filled + sizes.get(n, 0)
         parts[shards[n]] = max(1, -(-sizes.get(n, 0) // block))
-    queries = rows.where(is_query)
+    queries = rows.where("asks").select("row", "vec_id", "vector")
     crowd = max(1, -(-queries.count() * min(visits, len(parts)) // (len(parts) * block)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            vectors = matrix(batch.column(1))
+            vectors = matrix(batch.column(2))
             for i, query in enumerate(batch.column(0).to_pylist()):
                 seen, rows_seen, leaves = 0, 0, {}
                 for n in shared.value.bins(vectors[i]):
@@ -199,34 +199,38 @@ def nearest(
                             column.append(value)
             at = pa.array(out.pop(), pa.int64())
             own = pa.array(out.pop(), pa.list_(pa.int64()))
-            groups = pa.array(np.array(out[2], np.int64) // 100 % crowd)
+            mixed = np.array(out[2], np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            groups = pa.array((mixed % np.uint64(crowd)).astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, pa.int64()) for c in out), groups, own, batch.column(1).take(at)],
-                names=["shard", "part", "query_id", "crowd", "leaves", "vector"],
+                [*(pa.array(c, pa.int64()) for c in out), groups, own, batch.column(1).take(at), batch.column(2).take(at)],
+                names=["shard", "part", "query", "crowd", "leaves", "query_id", "vector"],
             )
 
-    asked = queries.mapInArrow(visit, "shard long, part long, query_id long, crowd long, leaves array<long>, vector array<double>")
+    asked = queries.mapInArrow(visit, "shard long, part long, query long, crowd long, leaves array<long>, query_id long, vector array<double>")
     # A row for each leaf of the tree.
     where = spark.createDataFrame([(n, s, parts[s]) for n, s in shards.items()], "leaf long, shard long, parts long")
-    held = index.join(F.broadcast(where), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    held = index.join(F.broadcast(where), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id", "row"), F.col("parts")))
     held = held.withColumn("crowd", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(crowd - 1).cast("long"))))
 
     def search(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         if len(rows) and len(queries):
             rows = rows.sort_by("leaf")
-            ids, vectors = rows.column("vec_id").to_numpy(), matrix(rows.column("vector").combine_chunks())
+            numbers, ids = rows.column("row").to_numpy(), rows.column("vec_id").to_numpy()
+            vectors = matrix(rows.column("vector").combine_chunks())
             leaves, starts = np.unique(rows.column("leaf").to_numpy(), return_index=True)
             spans = dict(zip(leaves.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True), strict=True))
-            names, asked = queries.column("query_id").to_numpy(), matrix(queries.column("vector").combine_chunks())
-            for q, vector, own in zip(names, asked, queries.column("leaves").to_pylist(), strict=True):
+            asking, names = queries.column("query").to_numpy(), queries.column("query_id").to_numpy()
+            asked = matrix(queries.column("vector").combine_chunks())
+            for q, name, vector, own in zip(asking, names, asked, queries.column("leaves").to_pylist(), strict=True):
                 at = np.concatenate([np.arange(*spans[n]) for n in own if n in spans] or [np.zeros(0, int)])
-                at = at[ids[at] != q]
+                at = at[numbers[at] != q]
                 scores = exact(vector[None], vectors[at])[0]
-                near = best(ids[at], scores, k)
-                for column, value in zip(out, (np.full(len(near), q), ids[at[near]], scores[near]), strict=True):
+                near = best(ids[at], numbers[at], scores, k)
+                found = (np.full(len(near), q), np.full(len(near), name), numbers[at[near]], ids[at[near]], scores[near])
+                for column, value in zip(out, found, strict=True):
                     column.append(value)
-        kinds = (np.int64, np.int64, float)
+        kinds = (np.int64, np.int64, np.int64, np.int64, float)
         return pa.table({n.split()[0]: np.concatenate([np.zeros(0, t), *c]) for n, t, c in zip(FOUND.split(", "), kinds, out, strict=True)})
 
     keys = ("shard", "part", "crowd")
@@ -239,19 +243,19 @@ def _calibrate(index: DataFrame, tree: Tree, names: list[int], queries: np.ndarr
     shared = index.sparkSession.sparkContext.broadcast((np.array(names), queries))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, queries = shared.value
+        asking, queries = shared.value
         for batch in batches:
-            ids, leaves = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            scores = exact(queries, matrix(batch.column(1)))
-            for q, own in zip(names.tolist(), scores, strict=True):
-                others = np.flatnonzero(ids != q)
-                at = others[best(ids[others], own[others], k)]
-                data = [np.full(len(at), q), ids[at], own[at], leaves[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(d) for d in data], names=["query_id", "vec_id", "score", "leaf"])
-
-    truth = top(index.select("vec_id", "vector", "leaf").mapInArrow(compare, FOUND + ", leaf long"), k).collect()
+            rows, ids, leaves = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            scores = exact(queries, matrix(batch.column(2)))
+            for q, own in zip(asking.tolist(), scores, strict=True):
+                others = np.flatnonzero(rows != q)
+                at = others[best(ids[others], rows[others], own[others], k)]
+                data = [np.full(len(at), q), np.zeros(len(at), np.int64), rows[at], ids[at], own[at], leaves[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(d) for d in data], names=["query", "query_id", "row", "vec_id", "score", "leaf"])
+
+    truth = top(index.select("row", "vec_id", "vector", "leaf").mapInArrow(compare, FOUND + ", leaf long"), k).collect()
     if not truth:
         return tree.leaves
     order = {q: {n: i for i, n in enumerate(tree.bins(v))} for q, v in zip(names, queries, strict=True)}
-    needed = np.sort([order[r.query_id][r.leaf] + 1 for r in truth])
+    needed = np.sort([order[r.query][r.leaf] + 1 for r in truth])
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])

@@ -60,3 +60,23 @@ def test_few_and_no_vectors(written):
     assert few == {100: [(1, 3, 2.0)]}
     assert neighbours.nearest(written([(100, [1.0, 2.0])], schema), F.col("vec_id") % 100 == 0).collect() == []
     assert neighbours.nearest(written([], schema), F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_rows_that_repeat_an_id_are_vectors_of_their_own(written):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.normal(size=3).tolist()) for i in [100, 100, 7, 7, 200, 200, 200, *range(300, 340)]]
+    rows += [(100, rows[0][1])]
+    vectors = written(rows, "vec_id long, embedding array<float>", files=1)
+    found = neighbours.nearest(vectors, F.col("vec_id") % 100 == 0, k=5, recall=1.0, leaf=8)
+    values = np.array([v for _, v in rows], np.float32).astype(float)
+    wanted = []
+    for i, (q, _) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((values[i] - values[j]) ** 2).sum())), rows[j][0]) for j in range(len(rows)) if j != i)[:5]
+            wanted += [(q, rank, v, pytest.approx(d)) for rank, (d, v) in enumerate(near, 1)]
+    got = [tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()]
+    assert len(got) == len(wanted)
+    left = list(got)
+    for row in wanted:
+        left.remove(next(r for r in left if r == row))
+    assert left == []
