@@ -69,7 +69,7 @@ def plan_best_fit(counts: Mapping[int, int], size: int) -> list[tuple[int, int,
     return plan
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, store: int = 600_000) -> DataFrame:
     """The token pieces of every document; ``nth`` numbers those of one length within each task.
 
     A document has its ids and ``end_id``. Only one longer than ``size`` is cut: its first piece takes the
@@ -77,7 +77,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer).encode, task_index()
+        encode, task = encoder(tokenizer, most=store).encode, task_index()
         seen = np.zeros(size + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -103,18 +103,19 @@ def cut_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, kinds)
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, store: int = 600_000) -> DataFrame:
     """Every piece of every document with its place: ``doc_id, piece, start, length, ids, sequence_id, offset``.
 
     ``ids`` are little-endian unsigned 32-bit; ``start`` counts the document's ids before the piece. Places in a
     sequence leave no gap. Null ids and repeated rows are documents of their own; an empty text is one end id; an
-    empty table gives no rows. Other columns of ``docs`` are not used.
+    empty table gives no rows. Other columns of ``docs`` are not used. A worker keeps the ids of ``store`` pieces of text, some 250 bytes
+    each; it takes longer with fewer.
 
     The pieces are written once, since their ranks and their contents must come from one run. The driver sees one
     count per length and gets the plan; both are bounded by ``size``, not by the data.
     """
     spark = docs.sparkSession
-    pieces = saved(cut_pieces(docs, tokenizer, size, end_id), "pieces")
+    pieces = saved(cut_pieces(docs, tokenizer, size, end_id, store), "pieces")
     per_task = saved(pieces.groupBy("length", "task").agg(F.count("*").alias("rows")), "piece-counts")
     counts = {r.length: r.rows for r in per_task.groupBy("length").agg(F.sum("rows").alias("rows")).collect()}
     plan = plan_best_fit({n: c for n, c in counts.items() if n < size}, size)
