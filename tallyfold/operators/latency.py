@@ -9,17 +9,33 @@ from tallyfold.functions.text import integer_part
 
 
 def latency_summary(df: DataFrame, host: str, value: str, ok: Column) -> DataFrame:
-    """Per host: integer part of least, greatest and mean latency of the answered probes, and loss in percent."""
+    """Per host: integer part of least, greatest and mean latency of the answered probes, and loss in percent.
+
+    The mean is that of the values as they are written, so it does not depend on the order in which they are added.
+    """
     answered = F.when(ok, F.col(value))
     lost = F.count_if(~F.coalesce(ok, F.lit(False)))
     return df.groupBy(F.col(host).alias("host")).agg(
         F.floor(F.min(answered)).alias("min"),
         F.floor(F.max(answered)).alias("max"),
-        F.floor(F.avg(answered)).alias("avg"),
+        _whole_mean(answered).alias("avg"),
         F.floor(100 * lost / F.count("*")).alias("loss"),
     )
 
 
+def _whole_mean(values: Column) -> Column:
+    """The floor of the mean, from a sum of decimals: a sum of doubles may come out just below a whole number, or not.
+
+    Digits after the twelfth decimal are rounded. The mean of doubles takes its place where that sum cannot hold the values.
+    """
+    count = F.count(values)
+    total = F.try_sum(values.try_cast("decimal(38,12)"))
+    held = (F.count(values.try_cast("decimal(38,12)")) == count) & (F.abs(total) < F.lit(10**15) * count)
+    # The remainder first: the quotient of decimals is rounded.
+    exact = (total - F.pmod(total, count)) / count
+    return F.when(held, exact.cast("bigint")).otherwise(F.floor(F.avg(values)))
+
+
 def parse_ping(df: DataFrame, report: str, sent: int | None = None) -> DataFrame:
     """Add ``min, max, avg, loss`` read from whole ping reports, Linux or Windows wording.
 

@@ -121,6 +121,15 @@ def test_latency_summary(spark, rows):
     assert rows(found) == [("a", 1, 4, 3, 33), ("b", None, None, None, 100)]
 
 
+def test_mean_latency_is_that_of_the_values_as_written(spark, rows):
+    # as doubles 2.98 + 0.01 + 0.01 is less than three
+    values = {"a": [2.98, 0.01, 0.01], "c": [-1.5, -1.0], "d": [1e300], "e": [2.999999999999], "f": [1e14 + 0.5, 1e14], "g": [4.0, float("inf")]}
+    df = spark.createDataFrame([(h, v) for h, own in values.items() for v in own], "h string, v double")
+    found = latency.latency_summary(df.coalesce(1), "h", "v", F.lit(True))
+    most = 2**63 - 1
+    assert [(r[0], r[3]) for r in rows(found)] == [("a", 1), ("c", -2), ("d", most), ("e", 2), ("f", 10**14), ("g", most)]
+
+
 LISTING = """<table><tbody>
 <tr><td class="link"><a href="../">Parent directory/</a></td><td class="size">-</td><td class="date">-</td></tr>
 <tr><td class="link"><a href="a.rpm" title="a">a.rpm</a></td><td class="size">1 K</td><td class="date">2024-01-01</td></tr>
