@@ -1,12 +1,12 @@
-"""Near-duplicates by the overlap of word shingles: candidates from bands of minima, then an exact Jaccard check.
-
-Of two texts with Jaccard similarity ``s``, a band of five minima is equal with probability ``s ** 5``, one of 20
-bands with ``1 - (1 - s ** 5) ** 20``: 0.9996 at 0.8. Texts with an equal band meet: all pairs of a small bucket;
-in a large one first each with the bucket's centre, which is another in every band, and with the few of its cell. Every
-candidate is checked on the whole sets of shingles.
-
-Most large buckets are groups of copies, which these pairs connect as a whole. Where they do not (texts with a shared template,
-say), the bucket's texts are searched without chance by prefix filtering: with its shingles in order of how many of
+"""Near-duplicates by the overlap of word shingles: candidates from SimHash's vantage-point forest, then an exact Jaccard check.
+
+Every different set of shingles has a SimHash fingerprint of its hashes. The forest of ``simhash.py`` links the fingerprints within a
+few bits; every link is checked on the whole sets, and what passes makes components. At a similarity of 0.8 two fingerprints
+differ in some ten bits of 64, which no index by distance tells from a crowd. So a second search follows for what the
+forest leaves apart. Of two texts with Jaccard similarity ``s``, a band of five minima is equal with probability ``s ** 5``, one of 20
+bands with ``1 - (1 - s ** 5) ** 20``: 0.9996 at 0.8. Only buckets that hold several components are looked at: all pairs of a small one
+are checked, but for those of one component. The texts of a large one (with a shared template,
+say) are searched without chance by prefix filtering: with its shingles in order of how many of
 these texts hold them, rarest first, a text shares one of its first ``n - ceil(0.8 n) + 1`` with any text of similarity
 0.8. So only pairs with a common rare shingle are checked, and only if they are not connected already.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.common import ROW, checkpointed, keyed, saved, small_batches, texts_of
 from tallyfold.llm.graph import components
+from tallyfold.llm.simhash import close_links, simhash_of
 from tallyfold.operators.skew import splittable_join
 
 BANDS, DEEP = 20, 5
@@ -47,53 +48,60 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, code, bands`` and the row key; equal ``code`` means equal shingles. A null text is empty."""
+    """``doc_id, code, fp, bands`` and the row key; equal ``code`` means equal shingles. A null text is empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, width) for t in texts_of(batch.column(2))]
             codes = pa.array([xxhash.xxh128_digest(h.tobytes()) for h in found], pa.binary())
+            fps = pa.array(np.array([simhash_of(h) for h in found], np.uint64).view(np.int64))
             flat = np.concatenate([bands(h) for h in found]).view(np.int64) if found else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes, lists], names=[ROW, "doc_id", "code", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes, fps, lists], names=[ROW, "doc_id", "code", "fp", "bands"])
 
     small_batches(docs.sparkSession)
     rows = keyed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    return rows.mapInArrow(work, f"{ROW} long, doc_id long, code binary, bands array<long>")
+    return rows.mapInArrow(work, f"{ROW} long, doc_id long, code binary, fp long, bands array<long>")
+
 
+def forest_pairs(codes: DataFrame, within: int, blocks: int) -> DataFrame:
+    """Pairs ``a < b`` of codes to check first: those of one fingerprint with its least code, and the forest's links between these."""
+    least = codes.groupBy("fp").agg(F.min("code").alias("least"), F.count("*").alias("n"))
+    least = checkpointed(least)
+    same = splittable_join(codes.select("fp", F.col("code").alias("x")), least.where("n > 1"), "fp", "inner")
+    links = close_links(least.select("fp"), within, blocks)
+    for end, name in (("a", "x"), ("b", "y")):
+        links = splittable_join(links, least.select(F.col("fp").alias(end), F.col("least").alias(name)), end, "inner")
+    return _ordered(same.select("x", F.col("least").alias("y")).union(links.select("x", "y")).where("x <> y"))
 
-def buckets(codes: DataFrame, small: int) -> DataFrame:
-    """``code, band, value, n, centre`` for every band that two codes or more share."""
+
+def buckets(codes: DataFrame) -> DataFrame:
+    """``code, band, value`` for every band that two codes or more share."""
     placed = codes.select("code", F.posexplode("bands").alias("band", "value"))
-    draw = F.xxhash64("code", "band")
-    shared = placed.groupBy("band", "value").agg(F.count("*").alias("n"), F.min(F.struct(draw, "code")).alias("centre")).where("n > 1")
-    met = splittable_join(placed, shared, ["band", "value"], "inner").withColumn("centre", F.col("centre.code"))
-    return met.withColumn("draw", draw).withColumn("large", F.col("n") > small)
+    shared = placed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return splittable_join(placed, shared, ["band", "value"], "left_semi")
+
+
+def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``code, root`` and the bucket of the codes in buckets that the links so far leave in several components, with the buckets' size."""
+    rooted = met.join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    kinds = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size"))
+    split = kinds.where("low <> high").select("band", "value", "size")
+    return splittable_join(rooted, split, ["band", "value"], "inner")
 
 
-def candidates(met: DataFrame, cell: int = 4) -> DataFrame:
-    """Pairs ``a < b`` of codes to check first: all of a small bucket, those by centre and by cell of a large one."""
-    met = met.withColumn("cell", F.when(~F.col("large"), 0).otherwise(F.pmod("draw", F.ceil(F.col("n") / cell))))
-    stars = met.where("large").select(F.col("centre").alias("x"), F.col("code").alias("y"))
-    cells = met.groupBy("band", "value", "cell").agg(F.array_sort(F.collect_list("code")).alias("all"))
-    inside = cells.select("all", F.posexplode("all").alias("i", "x")).select(
-        "x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y")
-    )
-    return _ordered(stars.unionByName(inside).where("x <> y"))
+def small_pairs(split: DataFrame) -> DataFrame:
+    """All pairs of different roots within each of the buckets, which are small."""
+    cells = split.groupBy("band", "value").agg(F.array_sort(F.collect_list(F.struct("code", "root"))).alias("all"))
+    pairs = cells.select("all", F.posexplode("all").alias("i", "one"))
+    pairs = pairs.select("one", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("other"))
+    return _ordered(pairs.where("one.root <> other.root").select(F.col("one.code").alias("x"), F.col("other.code").alias("y")))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def apart(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``code, root`` of the codes in large buckets that the links so far leave in several components."""
-    large = met.where("large").select("band", "value", "code")
-    rooted = large.join(roots.select(F.col("node").alias("code"), "root"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    split = rooted.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return splittable_join(rooted, split, ["band", "value"], "left_semi").select("code", "root").distinct()
-
-
 def rare_pairs(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs of ``crowd``, of different roots, that share a shingle of their prefixes: all with ``least`` are among them.
 
@@ -101,13 +109,14 @@ def rare_pairs(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """
     size = F.size("words").alias("n")
     words = sets.join(crowd, "code").select("code", "root", size, F.explode("words").alias("word"))
-    held = words.groupBy("word").agg(F.count("*").alias("texts"))
+    # Shingles of one text come first in the order and pair nothing: their number is what the others leave of a set.
+    held = words.groupBy("word").agg(F.count("*").alias("texts")).where("texts > 1")
     order = F.array_sort(F.collect_list(F.struct("texts", "word"))).alias("words")
     # A little less than the product, which may come out above the whole number that it is.
-    length = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    sorted_words = splittable_join(words, held, "word", "inner").groupBy("code", "root", "n").agg(order)
+    length = (F.size("words") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
+    sorted_words = splittable_join(words, held, "word", "inner").groupBy("code", "root", "n").agg(order).where(length > 0)
     first = sorted_words.select("code", "root", "n", F.explode(F.slice("words", F.lit(1), length)).alias("w"))
-    first = first.where("w.texts > 1").select("code", "root", "n", F.col("w.word").alias("word"))
+    first = first.select("code", "root", "n", F.col("w.word").alias("word"))
     mixed = first.groupBy("word").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     first = checkpointed(splittable_join(first, mixed, "word", "left_semi"))
     other = first.select(F.col("code").alias("y"), F.col("root").alias("other"), F.col("n").alias("m"), "word")
@@ -138,31 +147,34 @@ def overlapping(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= least).select("a", "b")
 
 
-def linked(docs: DataFrame, codes: DataFrame, width: int, least: float, small: int = 16) -> DataFrame:
+def linked(docs: DataFrame, codes: DataFrame, width: int, least: float, within: int = 7, blocks: int = 4, small: int = 16) -> DataFrame:
     """``node, root`` of the codes that pairs of ``least`` or more connect with another."""
-    met = checkpointed(buckets(codes, small))
-    pairs = checkpointed(candidates(met))
-    ends = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
+    pairs = checkpointed(forest_pairs(codes, within, blocks))
+    met = checkpointed(buckets(codes))
+    ends = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).union(met.select("code")).distinct()
     sets = shingle_sets(docs, ends, codes, width)
-    links = checkpointed(overlapping(pairs, sets, least))
-    roots = components(links)
-    crowd = checkpointed(apart(met, roots))
-    if crowd.isEmpty():
+    roots = components(overlapping(pairs, sets, least))
+    rest = checkpointed(apart(met, roots))
+    crowd = checkpointed(rest.where(F.col("size") > small).select("code", "root").distinct())
+    more = small_pairs(rest.where(F.col("size") <= small))
+    if not crowd.isEmpty():
+        more = more.union(rare_pairs(crowd, sets, least)).distinct()
+    links = checkpointed(overlapping(more, sets, least))
+    if links.isEmpty():
         return roots
-    more = checkpointed(overlapping(rare_pairs(crowd, sets, least), sets, least))
-    return roots if more.isEmpty() else components(links.unionByName(more))
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def one_of_each_overlap(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """``docs`` with one row, that with the smallest id, of each group that pairs of ``least`` or more connect; columns as they were.
 
     Texts without words are alike. Null ids come after all others; repeated rows are rows of their own. Of pairs at
-    just ``least`` four in ten thousand share no band and are missed, the fewer the more alike; a pair that does share one is
-    found, however many texts share it. Makes Arrow batches of the session small unless it has set their size.
+    just ``least`` four in ten thousand share no band and are missed if the forest does not link them, the fewer the more alike; a pair
+    that does share one is found, however many texts share it. Makes Arrow batches of the session small unless it has set their size.
     """
     rows = saved(signatures(docs, width), "signatures")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
-    codes = checkpointed(rows.groupBy("code").agg(F.min(order).alias("low"), F.first("bands").alias("bands")))
+    codes = checkpointed(rows.groupBy("code").agg(F.min(order).alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     roots = linked(docs, codes, width, least)
     grouped = codes.select("code", "low").join(roots.withColumnRenamed("node", "code"), "code", "left")
     keepers = grouped.groupBy(F.coalesce("root", "code")).agg(F.min("low").alias("first")).select(F.col(f"first.{ROW}").alias(ROW))

@@ -43,7 +43,23 @@ def simhash(text: str, width: int = 4, seed: int = 42) -> int:
     for i in range(0, n, 1 << 15):
         s, e = starts[i : min(n, i + (1 << 15))].tolist(), ends[k - 1 :][i : i + (1 << 15)].tolist()
         codes = np.array([hashed(joined[a:b], seed) for a, b in zip(s, e, strict=False)], "<u8")
-        total += np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += _bit_sums(codes)
+    return _majority(total, n)
+
+
+def simhash_of(codes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; 0 without any."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(codes), 1 << 15):
+        total += _bit_sums(codes[i : i + (1 << 15)].astype("<u8"))
+    return _majority(total, len(codes))
+
+
+def _bit_sums(codes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def _majority(total: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 

@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tallyfold.llm import overlap
 from tallyfold.plans.registry import table
 
@@ -63,6 +64,18 @@ def test_pairs_within_a_shared_template(documents):
     assert kept == plain_kept(pairs) and len(kept) < 150
 
 
+def test_the_forest_links_near_copies_by_itself(documents, monkeypatch):
+    rnd = random.Random(5)
+    pairs = []
+    for i in range(30):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(600)]
+        pairs += [(4 * i + j, " ".join([*base[:300], *(f"x{j}" for _ in range(j)), *base[300:]])) for j in range(4)]
+    met = []
+    monkeypatch.setattr(overlap, "buckets", lambda codes: met.append(1) or codes.select("code", F.lit(0).alias("band"), F.lit(0).alias("value")).limit(0))
+    kept = overlap.one_of_each_overlap(documents(pairs))
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(pairs) == [4 * i for i in range(30)] and met
+
+
 def test_empty_table_and_null_ids(written, documents):
     assert overlap.one_of_each_overlap(documents([])).collect() == []
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "q r s t u v"), (None, "only null ids here now")]
