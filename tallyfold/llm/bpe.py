@@ -141,6 +141,18 @@ def halves(text: str, most: int) -> list[str]:
     return parts
 
 
+def split_leaves(tree: Tree, batch: pa.RecordBatch, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """The leaves of a batch with their splits, some ``most`` characters at a time: a split takes far more memory than its text."""
+    parts, texts = batch.column("part").to_pylist(), batch.column("text").to_pylist()
+    for a, b in runs(texts, most):
+        splits = [[(len(x), tree._ids(x))] if p % 2 else tree.leaf_splits(x) for p, x in zip(parts[a:b], texts[a:b], strict=True)]
+        sizes = pa.array([[n for n, _ in s] for s in splits], pa.list_(pa.int32()))
+        counts = pa.array([[len(i) for _, i in s] for s in splits], pa.list_(pa.int32()))
+        ids = pa.array([np.array([i for _, x in s for i in x], "<u4").tobytes() for s in splits], pa.binary())
+        own = batch.slice(a, b - a)
+        yield pa.RecordBatch.from_arrays([*own.columns, sizes, counts, ids], names=[*batch.schema.names, "sizes", "counts", "ids"])
+
+
 def encode(docs: DataFrame, tokenizer: str, long: int = 32_768) -> DataFrame:
     """``doc_id, ids`` of every text as the library encodes it; ids are little-endian unsigned 32-bit.
 
@@ -174,12 +186,7 @@ def encode(docs: DataFrame, tokenizer: str, long: int = 32_768) -> DataFrame:
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(tokenizer)
         for batch in batches:
-            parts, texts = batch.column("part").to_pylist(), batch.column("text").to_pylist()
-            splits = [[(len(x), tree._ids(x))] if p % 2 else tree.leaf_splits(x) for p, x in zip(parts, texts, strict=True)]
-            sizes = pa.array([[n for n, _ in s] for s in splits], pa.list_(pa.int32()))
-            counts = pa.array([[len(i) for _, i in s] for s in splits], pa.list_(pa.int32()))
-            ids = pa.array([np.array([i for _, x in s for i in x], "<u4").tobytes() for s in splits], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sizes, counts, ids], names=[*batch.schema.names, "sizes", "counts", "ids"])
+            yield from split_leaves(tree, batch)
 
     def joined(rows: pa.Table) -> pa.Table:
         """One text: its leaves in order, folded part by part."""

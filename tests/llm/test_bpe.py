@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
@@ -67,3 +68,11 @@ def test_query_on_the_small_tables(spark):
         wanted.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     rows = driver.queries()["op7_tree_concatenation"](spark, driver.SMOKE)
     assert sorted(map(tuple, rows.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(wanted)
+
+
+def test_leaves_are_split_a_few_at_a_time():
+    text = "some words of a leaf " * 700
+    rows = [{bpe.ROW: i, "doc_id": i, "number": i, "part": 0, "leaf": i, "text": text} for i in range(40)]
+    batches = list(bpe.split_leaves(bpe.Tree(PATH), pa.RecordBatch.from_pylist(rows, schema=bpe.CUTS)))
+    assert len(batches) > 3 and [i for b in batches for i in b.column("number").to_pylist()] == list(range(40))
+    assert all(sum(map(len, b.column("text").to_pylist())) <= 1 << 17 for b in batches)
