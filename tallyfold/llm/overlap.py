@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import ROW, checkpointed, keyed, saved, small_batches, texts_of
@@ -102,25 +102,46 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _words_of(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    return sets.join(texts, "code").select("code", "root", F.size("words").alias("n"), F.explode("words").alias("word"))
+
+
+def _needed(least: float) -> Column:
+    """How many of its ``n`` shingles a text has in common with any text of similarity ``least``."""
+    # A little less than the product, which may come out above the whole number that it is.
+    return F.ceil(F.col("n") * least - 1e-9)
+
+
+def with_partners(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``crowd`` without the texts that no other can be similar to: too many of their shingles are in no other text of ``crowd``.
+
+    The shingles of one text are counted by their own groups, so that those of texts that go meet in no join.
+    """
+    words = _words_of(sets, crowd).groupBy("word").agg(F.count("*").alias("texts"), F.min(F.struct("code", "n")).alias("text"))
+    alone = words.where("texts = 1").groupBy("text.code", "text.n").agg(F.count("*").alias("own"))
+    gone = alone.where(F.col("n") - F.col("own") < _needed(least)).select("code")
+    return checkpointed(crowd.join(gone, "code", "left_anti"))
+
+
 def rare_pairs(crowd: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs of ``crowd``, of different roots, that share a shingle of their prefixes: all with ``least`` are among them.
 
     Their number is that of texts which share a shingle that is rare among them, by the lengths that ``least`` allows.
     """
-    size = F.size("words").alias("n")
-    words = sets.join(crowd, "code").select("code", "root", size, F.explode("words").alias("word"))
-    # Shingles of one text come first in the order and pair nothing: their number is what the others leave of a set.
-    held = words.groupBy("word").agg(F.count("*").alias("texts")).where("texts > 1")
+    words = _words_of(sets, with_partners(crowd, sets, least))
+    # Shingles of one component pair nothing: their number is what the others leave of a set.
+    held = words.groupBy("word").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     order = F.array_sort(F.collect_list(F.struct("texts", "word"))).alias("words")
-    # A little less than the product, which may come out above the whole number that it is.
-    length = (F.size("words") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")
-    sorted_words = splittable_join(words, held, "word", "inner").groupBy("code", "root", "n").agg(order).where(length > 0)
-    first = sorted_words.select("code", "root", "n", F.explode(F.slice("words", F.lit(1), length)).alias("w"))
-    first = first.select("code", "root", "n", F.col("w.word").alias("word"))
+    length = (F.size("words") - _needed(least) + 1).cast("int")
+    sorted_words = splittable_join(words, held.select("word", "texts"), "word", "inner").groupBy("code", "root", "n").agg(order).where(length > 0)
+    first = sorted_words.select("code", "root", "n", F.size("words").alias("held"), F.posexplode(F.slice("words", F.lit(1), length)).alias("i", "w"))
+    # How many may be shared if this is the first that is.
+    first = first.select("code", "root", "n", F.col("w.word").alias("word"), (F.col("held") - F.col("i")).alias("left"))
     mixed = first.groupBy("word").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     first = checkpointed(splittable_join(first, mixed, "word", "left_semi"))
-    other = first.select(F.col("code").alias("y"), F.col("root").alias("other"), F.col("n").alias("m"), "word")
-    near = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
+    other = first.select(F.col("code").alias("y"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("left").alias("rest"), "word")
+    # Two sets of n and m have (n + m) * least / (1 + least) in common at a similarity of ``least``.
+    near = F.least("left", "rest") >= (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9
     return _ordered(first.withColumnRenamed("code", "x").join(other, "word").where(near & (F.col("root") < F.col("other"))))
 
 

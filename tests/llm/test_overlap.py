@@ -76,6 +76,24 @@ def test_the_forest_links_near_copies_by_itself(documents, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == plain_kept(pairs) == [4 * i for i in range(30)] and met
 
 
+def test_texts_that_can_have_no_partner_meet_in_no_join(documents, monkeypatch):
+    """A third of every text's shingles are its own but for two pairs: only these texts' shingles are joined."""
+    template = [f"t{i}" for i in range(300)]
+    pairs = [(i, " ".join([*template, *(f"o{i}x{k}" for k in range(150))])) for i in range(60)]
+    pairs += [(60 + i, " ".join([*template, *(f"p{i // 2}x{k}" for k in range(100)), *(f"q{i}x{k}" for k in range(40))])) for i in range(4)]
+    met, join = [], overlap.splittable_join
+    monkeypatch.setattr(overlap, "forest_pairs", lambda codes, *_: codes.select(F.col("code").alias("a"), F.col("code").alias("b")).limit(0))
+
+    def counted(left, right, keys, how):
+        joined = join(left, right, keys, how)
+        met.extend([joined.count()] if (keys, how) == ("word", "inner") else [])
+        return joined
+
+    monkeypatch.setattr(overlap, "splittable_join", counted)
+    kept = sorted(r.doc_id for r in overlap.one_of_each_overlap(documents(pairs)).collect())
+    assert kept == plain_kept(pairs) == [*range(61), 62] and len(met) == 1 and 0 < met[0] <= 4 * 436
+
+
 def test_empty_table_and_null_ids(written, documents):
     assert overlap.one_of_each_overlap(documents([])).collect() == []
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "q r s t u v"), (None, "only null ids here now")]
