@@ -7,9 +7,8 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,6 +25,7 @@ STATE_STORE = {
 
 _EVENT = ("us", "id", "kind")
 _FOUND = ("start_us", "end_us", "start_id", "end_id")
+_MATCH = Row("key", *_FOUND)
 # Stands in the place of a slice number for rows at the edges; grouping keys must not be null.
 _EDGES = -(2**62)
 
@@ -70,36 +70,23 @@ class EdgeMatcher(StatefulProcessor):
             "tail", T.StructType([*_longs("us", "id"), T.StructField("kind", T.StringType())])
         )
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         edges = []
-        for batch in rows:
-            done = batch[batch["hit"]]
-            if not done.empty:
-                yield self._found(key[0], done["us"], done["end_us"], done["id"], done["end_id"])
-            if batch["edge"].any():
-                edges.append(batch.loc[batch["edge"], [*_EVENT, "settled"]])
+        for row in rows:
+            if row.hit:
+                yield _MATCH(key[0], row.us, row.end_us, row.id, row.end_id)
+            if row.edge:
+                edges.append((row.us, row.id, row.kind, row.settled))
         if not edges:
             return
         steps = len(self.pattern) - 1
-        carried = pd.DataFrame([tuple(e) for e in self.tail.get()], columns=list(_EVENT))
-        carried["settled"] = False
-        fresh = pd.concat(edges).sort_values(["us", "id"])
-        line = pd.concat([carried, fresh], ignore_index=True) if len(carried) else fresh.reset_index(drop=True)
+        edges.sort(key=lambda e: e[:2])
+        line = [(*e, False) for e in self.tail.get()] + edges
         if steps:
-            self.tail.put([(int(us), int(i), kind) for us, i, kind in line[list(_EVENT)].tail(steps).values])
-        hit = ~line["settled"].astype(bool)
-        for i, kind in enumerate(self.pattern):
-            hit &= line["kind"].shift(-i) == kind
-        if hit.any():
-            end = line[["us", "id"]].shift(-steps)[hit]
-            start = line[hit]
-            yield self._found(key[0], start["us"], end["us"], start["id"], end["id"])
-
-    @staticmethod
-    def _found(key: Any, *columns: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({n: c.astype("int64") for n, c in zip(_FOUND, columns, strict=True)})
-        out.insert(0, "key", key)
-        return out
+            self.tail.put([e[:3] for e in line[-steps:]])
+        for i, (us, place, _, settled) in enumerate(line[: len(line) - steps]):
+            if not settled and all(line[i + j][2] == kind for j, kind in enumerate(self.pattern)):
+                yield _MATCH(key[0], us, line[i + steps][0], place, line[i + steps][1])
 
     def close(self) -> None:
         pass
@@ -131,12 +118,12 @@ def match_sequence_stream(
     event = F.struct(F.col(key).alias("key"), F.unix_micros(ts).alias("us"), F.col(order).cast("bigint").alias("id"), F.col(kind).alias("kind"))
     key_type = slim.schema[key].dataType
     gathered = slim.groupBy(F.window(ts, f"{slice_seconds} seconds"), F.pmod(F.hash(key), F.lit(groups)).alias("group"))
-    slices = gathered.agg(F.array_sort(F.collect_list(event)).alias("line"))
+    slices = gathered.agg(F.sort_array(F.collect_list(event)).alias("line"))
     sliced = slices.select(F.unix_micros("window.start").alias("slice"), F.filter(_matched(pattern), lambda e: e["edge"] | e["hit"]).alias("rows"))
     few = F.size(F.filter("rows", lambda e: e["hit"])) <= riding
     rows = sliced.select("slice", few.alias("few"), F.explode("rows").alias("e"))
     part = F.when(F.col("e.edge") | F.col("few"), _EDGES).otherwise(F.col("slice")).alias("part")
-    matches = rows.select(part, "e.*").groupBy("key", "part").transformWithStateInPandas(
+    matches = rows.select(part, "e.*").groupBy("key", "part").transformWithState(
         statefulProcessor=EdgeMatcher(pattern),
         outputStructType=T.StructType([T.StructField("key", key_type), *_longs(*_FOUND)]),
         outputMode="Append",

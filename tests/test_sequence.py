@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyfold.operators import sequence
@@ -11,7 +12,7 @@ from tallyfold.operators.sequence import _with_slices, match_sequence
 from tallyfold.operators.skew import heavy_keys
 from tallyfold.session import shared_folder
 from tallyfold.streaming import files
-from tallyfold.streaming.sequence import match_sequence_stream, state_settings
+from tallyfold.streaming.sequence import EdgeMatcher, match_sequence_stream, state_settings
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -107,3 +108,30 @@ def test_stream_equals_batch(spark, pattern, parts, riding):
             files.drain(found, out, checkpoint)
     back = spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
     assert sorted(tuple(r) for r in back.collect()) == brute_force(events, pattern)
+
+
+def test_edges_of_a_key_are_matched_row_by_row():
+    """Rows as they come, no frame for each key; the tail of one batch meets the edges of the next."""
+
+    class Tail:
+        def __init__(self):
+            self.held = []
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, rows):
+            self.held = rows
+
+    def row(us, kind, settled=False, hit=False, edge=True):
+        return Row(us=us, id=us, kind=kind, settled=settled, hit=hit, edge=edge, end_us=us + 1, end_id=us + 1)
+
+    matcher, tail = EdgeMatcher(["x", "x"]), Tail()
+    matcher.init(tail)
+    first = [row(9, "x"), row(5, "x", True, True, False), row(1, "y", True)]
+    assert [tuple(m) for m in matcher.handleInputRows(("k",), iter(first), None)] == [("k", 5, 6, 5, 6)]
+    assert tail.held == [(9, 9, "x")]
+    assert [tuple(m) for m in matcher.handleInputRows(("k",), iter([row(12, "x")]), None)] == [("k", 9, 12, 9, 12)]
