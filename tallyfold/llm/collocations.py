@@ -15,8 +15,8 @@ occurrences each; their slot's count says how many. An element lies in one segme
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +40,7 @@ class Words:
     """Token numbers of the texts of one language: 0 ends a piece, other numbers are words in order of appearance."""
 
     def __init__(self, lang: str) -> None:
-        self.ids: dict[bytes, int] = defaultdict(lambda: len(self.ids))
-        self.ids[b"\n"], self.ids[b""]
+        self.ids: dict[bytes, int] = {b"\n": END, b"": NOTHING}
         self.seed = xxhash.xxh64_intdigest(lang.encode(), 5) & 0x7FFFFFFF
         self.held: list[np.ndarray] = []
         self.size = 0
@@ -49,9 +48,14 @@ class Words:
     def add(self, texts: list[str]) -> None:
         """A to Z in lower case; pieces end at ``.,;:!?``, at line breaks and with the text."""
         whole = b"\n".join([b"", *(t.encode("utf-8") for t in texts), b""]).lower().translate(BREAKS)
-        ids = self.ids
-        self.ids.default_factory = ids.__len__
-        found = np.fromiter(map(ids.__getitem__, whole.replace(b"\n", b" \n ").split(b" ")), np.int32)
+        # Arrow cuts it and finds the different words; only these become objects.
+        cut = pc.split_pattern(pa.array([whole.replace(b"\n", b" \n ")], pa.large_binary()), " ").flatten().dictionary_encode()
+        different = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.ids.get, different, repeat(-1)), np.int32, len(different))
+        fresh = np.flatnonzero(numbers < 0)
+        numbers[fresh] = np.arange(len(self.ids), len(self.ids) + len(fresh))
+        self.ids.update((different[i], int(numbers[i])) for i in fresh.tolist())
+        found = numbers[cut.indices.to_numpy()]
         found = found[found != NOTHING]
         self.held.append(found)
         self.size += len(found)
@@ -75,8 +79,11 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def by_language(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[list[tuple[str, Words]]]:
-    """The words of the texts that came in, whenever there are ``held`` of them, and at the end."""
+def by_language(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[tuple[str, Words]]:
+    """The words of the texts that came in, whenever there are ``held`` of them, and at the end.
+
+    Nothing here refers to what was given out: the caller is to let go of it too before it takes the next.
+    """
     found: dict[str, Words] = {}
     size = 0
     for batch in batches:
@@ -89,10 +96,13 @@ def by_language(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[list[t
             size -= words.size
             words.add(own)
             size += words.size
+        texts = words = own = None
         if size >= held:
-            yield list(found.items())
-            found, size = {}, 0
-    yield list(found.items())
+            while found:
+                yield found.popitem()
+            size = 0
+    while found:
+        yield found.popitem()
 
 
 def occurrences(docs: DataFrame, held: int) -> np.ndarray:
@@ -100,11 +110,11 @@ def occurrences(docs: DataFrame, held: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(1 << SLOT_BITS, np.int64)
-        for found in by_language(batches, held):
-            for _, words in found:
-                n = np.bincount(words.tokens(), minlength=2)
-                n[:2] = 0
-                np.add.at(sums, slots(words.hashes()), n)
+        for _, words in by_language(batches, held):
+            n = np.bincount(words.tokens(), minlength=2)
+            n[:2] = 0
+            np.add.at(sums, slots(words.hashes()), n)
+            del words, n
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["slot", "n"])
 
@@ -135,23 +145,26 @@ def word_stripes(docs: DataFrame, sums: np.ndarray, least: int, unit: int, held:
     """What follows single words; the empty word stands for the end and for rare words, the prefix null for all words."""
     shared = docs.sparkSession.sparkContext.broadcast(sums)
 
+    def stripes(lang: str, words: Words) -> Iterator[pa.RecordBatch]:
+        tokens, hashes, text = words.tokens(), words.hashes(), _with_end(words.text())
+        n = shared.value[slots(hashes)]
+        frequent = n >= least
+        frequent[:2] = False
+        first, second = tokens[:-1], tokens[1:]
+        keep = frequent[first]
+        keys, counts = np.unique(first[keep].astype(np.int64) << 31 | np.where(frequent[second[keep]], second[keep], END), return_counts=True)
+        first, second = keys >> 31, keys & (1 << 31) - 1
+        yield from _rows(lang, text, np.stack([first, -(-n[first] // unit)], 1), second, hashes, text, counts)
+        everything = pa.array([[int((tokens != END).sum())]], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([""]), everything],
+            names=[c.split()[0] for c in STRIPE.split(", ")],
+        )
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in by_language(batches, held):
-            for lang, words in found:
-                tokens, hashes, text = words.tokens(), words.hashes(), _with_end(words.text())
-                n = shared.value[slots(hashes)]
-                frequent = n >= least
-                frequent[:2] = False
-                first, second = tokens[:-1], tokens[1:]
-                keep = frequent[first]
-                keys, counts = np.unique(first[keep].astype(np.int64) << 31 | np.where(frequent[second[keep]], second[keep], END), return_counts=True)
-                first, second = keys >> 31, keys & (1 << 31) - 1
-                yield from _rows(lang, text, np.stack([first, -(-n[first] // unit)], 1), second, hashes, text, counts)
-                everything = pa.array([[int((tokens != END).sum())]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([None], pa.string()), pa.array([0], pa.int32()), pa.array([""]), everything],
-                    names=[c.split()[0] for c in STRIPE.split(", ")],
-                )
+        for lang, words in by_language(batches, held):
+            yield from stripes(lang, words)
+            del words
 
     return docs.mapInArrow(gather, STRIPE)
 
@@ -165,23 +178,28 @@ def pair_stripes(docs: DataFrame, sums: np.ndarray, bits: np.ndarray, unit: int,
     """What follows pairs, of pairs and followers that ``bits`` lets pass."""
     shared = docs.sparkSession.sparkContext.broadcast((sums, bits))
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stripes(lang: str, words: Words) -> Iterator[pa.RecordBatch]:
         sums, bits = shared.value
-        for found in by_language(batches, held):
-            for lang, words in found:
-                tokens, hashes, text = words.tokens(), words.hashes(), words.text()
-                n = sums[slots(hashes)]
-                first, second = tokens[:-1], tokens[1:]
-                passes = (first != END) & (second != END)
-                at = np.flatnonzero(passes)
-                passes[at] = _holds(bits, pair_hash(hashes[first[at]], hashes[second[at]]))
-                at = np.flatnonzero(passes[:-1] & passes[1:])
-                pairs, own = np.unique(tokens[at].astype(np.int64) << 31 | tokens[at + 1], return_inverse=True)
-                keys, counts = np.unique(own.astype(np.int64) << 31 | tokens[at + 2], return_counts=True)
-                own, third = keys >> 31, keys & (1 << 31) - 1
-                heads = pairs >> 31
-                prefix = pc.binary_join_element_wise(text.take(pa.array(heads)), text.take(pa.array(pairs & (1 << 31) - 1)), " ")
-                yield from _rows(lang, prefix, np.stack([own, -(-n[heads[own]] // unit)], 1), third, hashes, text, counts)
+        tokens, hashes, text = words.tokens(), words.hashes(), words.text()
+        n = sums[slots(hashes)]
+        first, second = tokens[:-1], tokens[1:]
+        at = np.flatnonzero((first != END) & (second != END))
+        passes = np.zeros(len(first), bool)
+        for i in range(0, len(at), 1 << 17):
+            part = at[i : i + (1 << 17)]
+            passes[part] = _holds(bits, pair_hash(hashes[first[part]], hashes[second[part]]))
+        at = np.flatnonzero(passes[:-1] & passes[1:])
+        pairs, own = np.unique(tokens[at].astype(np.int64) << 31 | tokens[at + 1], return_inverse=True)
+        keys, counts = np.unique(own.astype(np.int64) << 31 | tokens[at + 2], return_counts=True)
+        own, third = keys >> 31, keys & (1 << 31) - 1
+        heads = pairs >> 31
+        prefix = pc.binary_join_element_wise(text.take(pa.array(heads)), text.take(pa.array(pairs & (1 << 31) - 1)), " ")
+        yield from _rows(lang, prefix, np.stack([own, -(-n[heads[own]] // unit)], 1), third, hashes, text, counts)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words in by_language(batches, held):
+            yield from stripes(lang, words)
+            del words
 
     return docs.mapInArrow(gather, STRIPE)
 
@@ -227,19 +245,22 @@ def frequent_bits(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def merged(stripes: DataFrame, least: int) -> DataFrame:
+def merged(stripes: DataFrame, least: int, tasks: int = 0) -> DataFrame:
     """Equal stripes added up element by element: ``lang, prefix, segment, total`` and the ``elements`` of ``least`` or more.
 
-    All of it happens where the stripes were sent to; an element never meets more than the rows of its own.
+    All of it happens where the stripes were sent to; an element never meets more than the rows of its own. ``tasks``: deal
+    them out to so many, if the session would take fewer.
     """
-    dealt = stripes.repartition("lang", "prefix", "segment")
+    key = ("lang", "prefix", "segment")
+    few = tasks <= int(stripes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stripes.repartition(*key) if few else stripes.repartition(tasks, *key)
     elements = dealt.select("lang", "prefix", "segment", "counts", F.posexplode(F.split("words", " ")).alias("i", "word"))
     sums = elements.groupBy("lang", "prefix", "segment", "word").agg(F.sum(F.get("counts", F.col("i"))).alias("n"))
     kept = F.collect_list(F.when((F.col("n") >= least) & (F.col("word") != ""), F.struct("word", "n")))
     return sums.groupBy("lang", "prefix", "segment").agg(F.sum("n").alias("total"), kept.alias("elements"))
 
 
-def phrases(docs: DataFrame, least: int = 10, share: int = 50, unit: int = 1 << 20, held: int = 1 << 21) -> DataFrame:
+def phrases(docs: DataFrame, least: int = 10, share: int = 50, unit: int = 1 << 20, held: int = 1 << 21, each: int = 1 << 20) -> DataFrame:
     """Scored phrases of every language: ``lang, phrase, a, l, r, n, score``.
 
     ``a`` is the phrase's count (``least`` or more), ``l`` and ``r`` those of the two sides of its lowest-scoring cut (of equal
@@ -247,15 +268,16 @@ def phrases(docs: DataFrame, least: int = 10, share: int = 50, unit: int = 1 <<
     decimals wide enough for counts up to 10**14. Pairs that are part of a triple with ``share`` percent of their count
     or more are left out. A null text is empty, a null language ``und``; a table without words gives no rows. Repeated rows count
     each; other columns are not looked at. ``unit`` bounds the occurrences in a segment, ``held`` the words that a
-    counting task holds (within one batch of texts). Makes Arrow batches of the session small unless it has set their size.
+    counting task holds (within one batch of texts), ``each`` those whose stripes a merging task gets on average, at most. Makes Arrow batches of the session small unless it has set their size.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text")
     sums = occurrences(texts, held)
-    ones = saved(merged(word_stripes(texts, sums, least, unit, held), least), "word-stripes")
+    tasks = -(-int(sums.sum()) // each)
+    ones = saved(merged(word_stripes(texts, sums, least, unit, held), least, tasks), "word-stripes")
     twos = ones.where("prefix IS NOT NULL").select("lang", F.col("prefix").alias("first"), F.inline("elements").alias("second", "f"))
     bits = frequent_bits(twos.select("lang", "first", "second"))
-    longer = saved(merged(pair_stripes(texts, sums, bits, unit, held), least).where(F.size("elements") > 0), "pair-stripes")
+    longer = saved(merged(pair_stripes(texts, sums, bits, unit, held), least, tasks).where(F.size("elements") > 0), "pair-stripes")
 
     sizes = ones.where("prefix IS NULL").select("lang", F.col("total").alias("n"))
     common = ones.where("prefix IS NOT NULL").groupBy("lang", F.col("prefix").alias("word")).agg(F.sum("total").alias("f")).where(F.col("f") >= least)

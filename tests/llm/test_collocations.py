@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as driver
@@ -92,3 +94,23 @@ def test_a_full_bitmap_changes_nothing(written, monkeypatch):
 def test_query_against_sql(spark):
     found = rows_of(driver.queries()["op12_phrase_stripes"](spark, driver.SMOKE))
     assert found == rows_of_sql(duck(driver.SMOKE), driver.oracle_sql()["op12_phrase_stripes"]) and sum(found[1].values()) > 100
+
+
+def test_words_that_were_given_out_are_let_go():
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array(["a b c", "d e"])], names=["lang", "text"])
+    given, alive = [], []
+    for _, words in collocations.by_language(iter([batch] * 4), 5):
+        alive.append(sum(w() is not None for w in given))
+        given.append(weakref.ref(words))
+        del words
+    assert len(given) == 8 and alive == [0] * 8
+
+
+def test_merging_tasks_get_a_bounded_share(written, spark):
+    docs = [(f"a{i % 50} b{i % 70} c{i % 30}. " * 5, "en") for i in range(200)]
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([("en", f"w{i}", 0, "x y", [6, 4]) for i in range(500)], collocations.STRIPE)
+    found = collocations.merged(rows, 5, tasks)
+    assert f", {tasks})" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.total, len(r.elements)) for r in found.collect()} == {(10, 1)}
+    assert sorted(map(tuple, collocations.best_phrases(written(docs, TEXTS), each=100).collect())) == plain(docs)
