@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import runs, saved, small_batches, task_index, texts_of
-from tallyfold.llm.tokens import encoder
+from tallyfold.llm.tokens import encoder, spans
 
 MAGIC = b"RPB1"
 HASH_BITS = 18
@@ -66,6 +66,15 @@ class Block:
             x = out
         return x.astype("<u4")
 
+    def all_expanded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What every symbol stands for, one after the other; where that of each symbol starts; how many ids it has.
+
+        A rule occurs several times in its block, so all of this is no longer than a few blocks' ids.
+        """
+        rules = np.arange(self.first, self.first + len(self.left))
+        sizes = np.concatenate([np.ones(self.first, np.int64), self.lengths.astype(np.int64)])
+        return np.concatenate([np.arange(self.first, dtype="<u4"), self.expand(rules)]), np.cumsum(sizes) - sizes, sizes
+
     def document(self, i: int) -> np.ndarray:
         """The ids of document ``i`` alone."""
         start = int(self.symbols[:i].sum(dtype=np.int64))
@@ -103,9 +112,11 @@ def compress(ids: np.ndarray, tokens: np.ndarray, rounds: int = 10, per_round: i
         bar = max(least, int(np.partition(counts, -per_round)[-per_round]))
         often = np.append(counts >= bar, False)
         at = np.flatnonzero(often[slots])
-        found, back, times = np.unique(pairs[at], return_inverse=True, return_counts=True)
-        chosen = np.argsort(-times, kind="stable")[:per_round]
-        chosen = chosen[times[chosen] >= least]
+        coded = pa.array(pairs[at]).dictionary_encode()
+        found, back = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        times = np.bincount(back, minlength=len(found))
+        chosen = np.flatnonzero(times >= least)
+        chosen = chosen[np.lexsort((found[chosen], -times[chosen]))][:per_round]
         if not len(chosen):
             break
         rule = np.full(len(found), -1, np.int64)
@@ -161,7 +172,7 @@ def write_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1, words: bool =
 
         for batch in batches:
             texts, ids = texts_of(batch.column(1)), batch.column(0).to_pylist()
-            for a, b in runs(texts, 1 << 20):
+            for a, b in runs(texts, 1 << 21):
                 for key, x in zip(ids[a:b], encode(texts[a:b]), strict=True):
                     if held and gathered + len(x) // 4 >= size:
                         yield close()
@@ -203,10 +214,12 @@ def read_documents(files: DataFrame) -> DataFrame:
                 tokens = block.tokens.astype(np.int64)
                 starts = start + np.cumsum(tokens) - tokens
                 edges = np.concatenate(([0], np.cumsum(block.symbols.astype(np.int64))))
-                # expand some documents at a time
+                expanded, places, sizes = block.all_expanded()
+                # some documents at a time
                 cut = np.concatenate(([0], np.flatnonzero(np.diff(np.cumsum(tokens) >> 17)) + 1, [len(tokens)]))
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    raw = block.expand(block.sequence[edges[a] : edges[b]]).tobytes()
+                    symbols = block.sequence[edges[a] : edges[b]]
+                    raw = expanded[spans(places[symbols], sizes[symbols])].tobytes()
                     ends = 4 * np.cumsum(tokens[a:b])
                     ids = [raw[i:j] for i, j in zip((ends - 4 * tokens[a:b]).tolist(), ends.tolist(), strict=True)]
                     columns = [pa.array(keys[a:b], pa.int64()), pa.array(starts[a:b]), pa.array(tokens[a:b]), pa.array(ids, pa.binary())]

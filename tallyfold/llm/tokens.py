@@ -2,17 +2,20 @@
 
 Both kinds of tokenizer used here never merge across the start of a run of white space, so a text is the
 concatenation of pieces that can be encoded on their own. Pieces repeat: each worker lets the library encode a
-piece once and numbers it. A batch of texts then becomes an array of piece numbers, and its ids are gathered from one array of all
-pieces' ids. The store of pieces is bounded: when it is full, those that came up in one batch only are dropped. What is not in it
+piece once and numbers it. Arrow cuts a batch of texts and finds its different pieces, and only these are looked up one by one. The
+batch then becomes an array of piece numbers, and its ids are gathered from one array of all pieces' ids. The store of pieces is bounded: when it is full, those that came up in one batch only are dropped. What is not in it
 is encoded anew, so its size changes the time only.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallyfold.llm.common import single_thread
 
@@ -21,12 +24,14 @@ _PIECES = re.compile(r"\s*\S+|\s+")
 _DIFFERENT = "\x1c\x1d\x1e\x1f"
 # What else Python takes for white space, but for the space and the line feed.
 _RARE = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
-_LATIN = "\u0250"  # the letters below are letters in every version of Unicode
+_LATIN = [c for c in map(chr, range(0x250)) if c.isalpha()]  # letters in every version of Unicode
 _KEEP = 48  # longer pieces are not kept
 # How a byte-level vocabulary writes bytes: printable ones as they are, others as characters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 _WHOLE = "\x1c"  # before a piece that is to be encoded as it stands; no other piece begins so
+_CODES = np.array([b if b in (10, ord(_WHOLE)) else ord(_SHOWN.get(b, chr(b))) for b in range(256)], "<u2")
+_STEP = 1 << 14  # pieces whose tokens are held at a time
 
 
 def load_tokenizer(path: str):
@@ -39,18 +44,6 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-class Store(dict):
-    """Numbers pieces in the order in which they come up; ``fresh`` are those without ids as yet."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        self.fresh.append(piece)
-        return number
-
-
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. ``words``: the tokenizer drops white space.
 
@@ -66,11 +59,13 @@ class Encoder:
         self.marks = [t for _, t in special]
         self.first = self.marks[0][:1] if len({m[:1] for m in self.marks}) == 1 else ""  # in any text, if marks differ
         self.mark_id, self.mark = special[-1] if special else (None, None)
+        kept = [c for c in _LATIN if not words or c == c.lower()]
+        self.is_word = re.compile(f"{_WHOLE}?[{''.join(kept)}]+").fullmatch
         self.signs = dict(zip(("", ",", "."), self._whole(["", ",", "."]), strict=True))
         self._empty()
 
     def _empty(self) -> None:
-        self.store = Store()
+        self.store: dict[str, int] = {}  # numbers pieces in the order in which they come up
         self.ids = np.zeros(1 << 16, "<u4")
         self.starts = np.zeros(1 << 14, np.int64)
         self.sizes = np.zeros(1 << 14, np.int32)
@@ -83,32 +78,58 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self._batch(texts)]
 
-    def _new(self, pieces: list[str]) -> list[np.ndarray]:
-        """The ids of pieces without special tokens in them."""
+    def _new(self, pieces: list[str]) -> tuple[list[int], np.ndarray]:
+        """How many ids each of these pieces without special tokens in them has, and all their ids."""
         if self.mark is None:
-            return self._whole(pieces)
-        out: list[np.ndarray] = []
+            return _joined(self._whole(pieces))
+        sizes: list[int] = []
+        out = [np.zeros(0, "<u4")]
         for i in range(0, len(pieces), 512):
             ids = np.array(self._batch([self.mark.join(pieces[i : i + 512])])[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id).tolist()
-            out += [ids[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
-        return out
+            cuts = np.flatnonzero(ids == self.mark_id)
+            sizes += (np.diff(cuts, prepend=-1, append=len(ids)) - 1).tolist()
+            out.append(np.delete(ids, cuts))
+        return sizes, np.concatenate(out)
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut into pieces that the library encodes one by one to the same ids.
+    def _spaced(self, text: str) -> str | None:
+        """The text with a space between any two pieces, or None if it must be cut by ``_odd``.
 
-        Those of a byte-level text lack the space before them. A piece without one is marked: the first, and a line feed and
-        what follows it.
+        Pieces are what the library encodes one by one to the same ids. Those of a byte-level text lack the space before them;
+        one without it is marked: the first, and a line feed and what follows it. A words tokenizer gives no ids for empty ones.
         """
-        if any(c in text for c in _DIFFERENT):
-            return [_WHOLE + text]
+        if any(c in text for c in _DIFFERENT) or any(c in text for c in _RARE):
+            return None
         if self.words:
-            return text.split()
+            return (text if "\u03a3" in text or "<" in text else text.lower()).replace("\n", " ")
         # A run of white space is more than one space or line feed, or two line feeds within the text.
         runs = "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n")
-        if runs or any(c in text for c in _RARE) or self._marked(text):
-            return [_WHOLE + x for x in _PIECES.findall(text)]
-        return (_WHOLE + text.replace("\n", f" {_WHOLE}\n {_WHOLE}")).split(" ")
+        return None if runs or self._marked(text) else _WHOLE + text.replace("\n", f" {_WHOLE}\n {_WHOLE}")
+
+    def _odd(self, text: str) -> list[str]:
+        """The pieces of a text with white space or marks that need care."""
+        if any(c in text for c in _DIFFERENT):
+            return [_WHOLE + text]
+        return text.split() if self.words else [_WHOLE + x for x in _PIECES.findall(text)]
+
+    def _cut(self, texts: list[str]) -> tuple[pa.Array, list[int]]:
+        """The pieces of all texts in a row, and how many each has."""
+        parts, counts, held = [pa.array([], pa.large_string())], [], []
+
+        def close() -> None:
+            if held:
+                parts.append(pc.split_pattern(pa.array([" ".join(held)], pa.large_string()), " ").flatten())
+                held.clear()
+
+        for text in texts:
+            if (spaced := self._spaced(text)) is not None:
+                held.append(spaced)
+                counts.append(spaced.count(" ") + 1)
+            else:
+                close()
+                parts.append(pa.array(self._odd(text), pa.large_string()))
+                counts.append(len(parts[-1]))
+        close()
+        return pa.concat_arrays(parts), counts
 
     def _marked(self, text: str) -> bool:
         return self.first in text and any(m in text for m in self.marks)
@@ -134,44 +155,46 @@ class Encoder:
         ends = piece[-1:] in (",", ".") and piece[-2:-1].isalpha() and piece[-2] != "\u0130"
         return (piece[:-1], piece[-1]) if ends else (piece, "")
 
-    def _word(self, piece: str) -> bool:
-        """Only letters, which the scanner leaves together and the normaliser as they are but for their case."""
-        return piece.isalpha() and (piece.isascii() or max(piece) < _LATIN)
+    def _model_texts(self, words: list[str]) -> list[str]:
+        """Words as the model takes them: for byte-level vocabularies with the sign for a space before them, if there is one."""
+        shown = _CODES[np.frombuffer("\n".join(["", *words]).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        if not self.words:
+            shown = shown.replace("\n", "\n\u0120").replace(f"\n\u0120{_WHOLE}", "\n")
+        return shown.replace(_WHOLE, "").split("\n")[1:]
 
-    def _model_text(self, piece: str) -> str:
-        """A word as the model takes it: for byte-level vocabularies with the sign for a space before it, if there is one."""
-        before = "" if self.words else "\u0120"
-        if piece[0] == _WHOLE:
-            before, piece = "", piece[1:]
-        return before + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN))
-
-    def _learn(self) -> None:
-        """Give the pieces that came up for the first time their ids."""
-        store = self.store
+    def _learn(self, fresh: list[str]) -> None:
+        """Give the pieces that have just got a number, the last ones of the store, their ids."""
         letters, others, derived = [], [], []
-        for piece in store.fresh:  # grows by the forms that pieces share
-            if self._word(piece) and (not self.words or piece.islower()):
-                letters.append(piece)
-                continue
-            core, sign = self._core(piece)
-            if core is not piece:
-                derived.append((store[piece], store[core], sign))
-            elif piece[:1] == _WHOLE and self._word(piece[1:]):
-                letters.append(piece)
-            else:
-                others.append(piece)
-        store.fresh = []
-        self.starts, self.sizes, self.uses = (_grown(x, len(store)) for x in (self.starts, self.sizes, self.uses))
+        numbers, signs = [np.zeros(0, np.int64)], []
+        while fresh:  # and then the forms that these share
+            first, cores = len(self.store) - len(fresh), []
+            # Only letters, which the scanner leaves together and the normaliser as they are.
+            word = np.fromiter(map(self.is_word, fresh), bool, len(fresh))
+            letters += compress(fresh, word)
+            numbers.append(first + np.flatnonzero(word))
+            for at in np.flatnonzero(~word).tolist():
+                core, sign = self._core(fresh[at])
+                if core is not fresh[at]:
+                    derived.append(first + at)
+                    cores.append(core)
+                    signs.append(sign)
+                else:
+                    others.append(core)
+            own, fresh = self._number(cores)
+            derived[len(derived) - len(cores) :] = zip(derived[len(derived) - len(cores) :], own.tolist(), strict=True)
+        self.starts, self.sizes, self.uses = (_grown(x, len(self.store)) for x in (self.starts, self.sizes, self.uses))
         # The model by itself takes words without the scanner's and the normaliser's work, which leave them as they are.
-        tokenize = self.tokenizer.model.tokenize
-        found = list(map(tokenize, map(self._model_text, letters)))
-        self._add(letters, list(map(len, found)), np.fromiter([t.id for tokens in found for t in tokens], "<u4"))
-        easy = [c for c in others if not self._marked(c)]
+        texts, places = self._model_texts(letters), np.concatenate(numbers)
+        for i in range(0, len(texts), _STEP):
+            found = list(map(self.tokenizer.model.tokenize, texts[i : i + _STEP]))
+            ids = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), "<u4")
+            self._place(places[i : i + _STEP], np.array(list(map(len, found)), np.int64), ids)
         marked = [c for c in others if self._marked(c)]
-        for pieces, new in ((easy, self._new([self._text(c) for c in easy])), (marked, self._whole([self._text(c) for c in marked]))):
-            self._add(pieces, list(map(len, new)), np.concatenate([np.zeros(0, "<u4"), *new]))
+        easy = [c for c in others if not self._marked(c)] if marked else others
+        self._add(easy, *self._new([self._text(c) for c in easy]))
+        self._add(marked, *_joined(self._whole([self._text(c) for c in marked])))
         for sign, ids in self.signs.items():
-            own = np.array([(n, core) for n, core, s in derived if s == sign], np.int64).reshape(-1, 2)
+            own = np.array([x for x, s in zip(derived, signs, strict=True) if s == sign], np.int64).reshape(-1, 2)
             self._derive(*own.T, ids)
 
     def _add(self, pieces: list[str], sizes: list[int], ids: np.ndarray) -> None:
@@ -190,7 +213,7 @@ class Encoder:
         sizes = held + len(sign)
         at = np.cumsum(sizes) - sizes
         ids = np.zeros(int(sizes.sum()), "<u4")
-        ids[_spans(at, held)] = self.ids[_spans(self.starts[cores], held)]
+        ids[spans(at, held)] = self.ids[spans(self.starts[cores], held)]
         for i, value in enumerate(sign.tolist()):
             ids[at + held + i] = value
         self._place(numbers, sizes, ids)
@@ -200,7 +223,7 @@ class Encoder:
         kept = [p for p, n in self.store.items() if self.uses[n] > 1 and len(p) <= _KEEP][: self.most // 2]
         at = np.fromiter((self.store[p] for p in kept), np.int64, len(kept))
         sizes = self.sizes[at]
-        ids = self.ids[_spans(self.starts[at], sizes)]
+        ids = self.ids[spans(self.starts[at], sizes)]
         self._empty()
         self.store.update((p, n) for n, p in enumerate(kept))
         self.starts, self.sizes, self.uses = (_grown(x, len(kept)) for x in (self.starts, self.sizes, self.uses))
@@ -209,27 +232,50 @@ class Encoder:
         self.ids, self.filled = _grown(self.ids, len(ids)), len(ids)
         self.ids[: len(ids)] = ids
 
-    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces in a row, and how many each has."""
+    def _number(self, pieces: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The pieces' numbers in the store, and those that it did not hold, each once."""
+        store = self.store
+        numbers = np.fromiter(map(store.get, pieces, repeat(-1)), np.int64, len(pieces))
+        at = np.flatnonzero(numbers < 0).tolist()
+        missing = [pieces[i] for i in at]
+        fresh = list(dict.fromkeys(missing))
+        store.update(zip(fresh, range(len(store), len(store) + len(fresh)), strict=True))
+        numbers[at] = np.fromiter(map(store.__getitem__, missing), np.int64, len(at))
+        return numbers, fresh
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
         if len(self.store) > self.most:
             self._forget()
-        numbers = np.fromiter(map(self.store.__getitem__, pieces), np.int64, len(pieces))
-        if self.store.fresh:
-            self._learn()
+        numbers, fresh = self._number(pieces)
+        if fresh:
+            self._learn(fresh)
         self.uses[numbers] = np.minimum(self.uses[numbers], 254) + 1
+        return numbers
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.sizes[numbers]
-        return self.ids[_spans(self.starts[numbers], sizes)], sizes
+        return self.ids[spans(self.starts[numbers], sizes)], sizes
+
+    def lookup(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces in a row, and how many each has."""
+        return self._gather(self._numbers(pieces))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text."""
-        cut = [self.pieces(text) for text in texts]
-        ids, sizes = self.lookup(list(chain.from_iterable(cut)))
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum([0, *map(len, cut)])] * 4
+        pieces, counts = self._cut(texts)
+        coded = pieces.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, sizes = self._gather(numbers[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.cumsum([0, *counts])] * 4
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _joined(found: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
+    return list(map(len, found)), np.concatenate([np.zeros(0, "<u4"), *found])
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places ``start, start + 1, ...`` of every span, one span after the other."""
     before = np.cumsum(sizes, dtype=np.int64) - sizes
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))

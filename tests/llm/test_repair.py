@@ -83,3 +83,15 @@ def test_query_on_the_small_tables(spark):
     rows = driver.queries()["op2_repair_grammar"](spark, driver.SMOKE).collect()
     expected = [(i, s, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, s, x in wanted(docs)]
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows) == expected
+
+
+def test_all_symbols_expanded_at_once():
+    rnd = random.Random(3)
+    ids = np.array([rnd.choice([5, 6, 7, 7, 9]) for _ in range(5000)], "<u4")
+    for tokens in ([5000], [2000, 1, 2999]):
+        block = repair.Block.from_bytes(repair.compress(ids, np.array(tokens)).to_bytes())
+        expanded, places, sizes = block.all_expanded()
+        assert len(block.left) > 5 and sizes[block.sequence].sum() == 5000
+        assert [expanded[places[s] : places[s] + sizes[s]].tolist() for s in block.sequence] == [block.expand(np.array([s])).tolist() for s in block.sequence]
+    empty = repair.Block.from_bytes(repair.compress(ids[:0], np.array([], np.int64)).to_bytes())
+    assert [len(x) for x in empty.all_expanded()] == [0, 0, 0]
